@@ -79,12 +79,12 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each text and their count) of the runs without ASCII white space.
+def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each text and their count) of the runs without gap bytes (ASCII white space).
 
     Words end at the end of their text.
     """
-    solid = ~WHITE[buf]
+    solid = ~gap[buf]
     if not len(buf):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
     edge = np.zeros(len(buf) + 1, bool)
