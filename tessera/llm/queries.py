@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, minhash, mixing, packing, sharding, token_counts, token_files, topk_search, toxicity
+from . import embed_dedup, minhash, mixing, packing, sharding, suffix_dedup, token_counts, token_files, topk_search, toxicity
 from .common import table
 from .encoders import public_path
 
@@ -17,6 +17,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_token_counts, op4_mix_sources, op5_pack, op6_minhash, op7_embed_dedup, op8_shard, op9_toxicity, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_token_counts, op3_suffix_dedup, op4_mix_sources, op5_pack, op6_minhash, op7_embed_dedup, op8_shard, op9_toxicity, op10_token_files)}
 ORACLE_SQL = {"op1_topk_search": topk_search.top_k_sql(), "op4_mix_sources": mixing.mixing_sql()}
