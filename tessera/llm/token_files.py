@@ -16,12 +16,11 @@ are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for, table_path
@@ -136,10 +135,16 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32)."""
+def read_token_files(files: DataFrame, content: Column | None = None) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32).
+
+    ``content`` is what to keep in place of the ids; it is made before rows are moved.
+    """
+    content = F.col("ids") if content is None else content
     wanted = files.select("version", "shard", "segment", "n_ids", "doc_ids", "doc_nulls", "lengths", "ranked", "control", "data")
     docs = wanted.mapInArrow(_reader, "doc_id long, shard int, segment int, local long, n_tokens long, ids binary")
+    docs = docs.select("doc_id", "shard", "segment", "local", "n_tokens", content)
+    kept = docs.columns[-1]
     sizes = files.select("shard", "segment", "n_ids")
     before = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     in_shard = sizes.withColumn("in_shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -147,13 +152,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
     over = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("shards_before", F.coalesce(F.sum("n").over(over), F.lit(0))).drop("n")
     offsets = in_shard.join(shards, "shard").select("shard", "segment", (F.col("in_shard") + F.col("shards_before")).alias("base"))
-    return docs.join(offsets, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+    return docs.join(offsets, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", kept)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2) -> DataFrame:
-    back = read_token_files(write_token_files(docs, tokenizer, kind, end_id))
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
-
+    files = write_token_files(docs, tokenizer, kind, end_id)
+    return read_token_files(files, F.crc32("ids").cast("long").alias("ids_crc32"))
 
-def crc_ids(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
