@@ -314,7 +314,7 @@ def _left_merger(key: tuple, table: pa.Table) -> pa.Table:
         wanted = -1 if edge else 0
         for m in opens[i:j] if not edge else ():
             wanted |= m
-        for (_, s, group), reach in zip(items[i:j], masks[i:j], strict=True):
+        for (_, s, group), reach, open_ in zip(items[i:j], masks[i:j], opens[i:j], strict=True):
             own, left = group[0], s[GRAM:LENGTH]
             right = s[:GRAM] + s[LENGTH:]
             m = reach & wanted
@@ -322,7 +322,8 @@ def _left_merger(key: tuple, table: pa.Table) -> pa.Table:
                 o = (m & -m).bit_length() - 1
                 m &= m - 1
                 window = left[:o][::-1] + right[: LENGTH - o]
-                rows.append((hashlib.blake2b(window, digest_size=16).digest(), None if own[5] else own[0], own[1], own[2] - o))
+                # Decided windows only count as partners of open ones.
+                rows.append((hashlib.blake2b(window, digest_size=16).digest(), own[0] if open_ >> o & 1 else None, own[1], own[2] - o))
         i = j
     batches = list(_spans(decided))
     for lo in range(0, len(rows), 5000):
