@@ -1,7 +1,251 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries; the SQL of each is in ``oracles``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as t
+from tessera.functions.similarity import UDFS
+from tessera.operators import features, index, learning
+from tessera.operators import matching as m
+from tessera.sources import records
+
+from .oracles import ORACLE_SQL as ORACLE_SQL
+
 FLAGSHIP = "matching_results"
+THRESHOLD = 0.3
+GRID = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rec = records.rec_view(spark, d)
+    return rec.where("tier = 1"), rec.where("tier > 1")
+
+
+def norm_record(spark, d):
+    return records.rec_view(spark, d).drop("tier")
+
+
+def _words(spark, d):
+    rec = records.rec_view(spark, d)
+    return rec.select(F.explode(F.array_distinct(t.tokens(F.concat_ws(" ", "name_alnum", "addr_alnum", "addr_street")))).alias("tok")).distinct()
+
+
+def phonetic_skeleton(spark, d):
+    return _words(spark, d).select("tok", t.skeleton(F.col("tok")).alias("skeleton"))
+
+
+def joint_skeleton(spark, d):
+    return _words(spark, d).select("tok", t.joint_skeleton(F.col("tok")).alias("skeleton"))
+
+
+def tok4_tokens(spark, d):
+    return index.token_rows(records.rec_view(spark, d), m.TOK4())
+
+
+def joint_tokens(spark, d):
+    return index.token_rows(records.rec_view(spark, d), m.JOINT())
+
+
+def char_ngrams_df(spark, d):
+    return index.token_rows(records.rec_view(spark, d), m.NAME()).groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))
+
+
+def url_tokens(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    words = F.array_distinct(t.tokens(F.regexp_replace(F.lower("url"), "[^a-z0-9]", " ")))
+    return pages.select("page_id", F.explode(words).alias("tok")).distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+
+
+def name_key_counts(spark, d):
+    return records.rec_view(spark, d).groupBy(F.col("country_norm").alias("country"), t.name_key(F.col("name_core")).alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def twin_counts(spark, d):
+    keyed = records.rec_view(spark, d).select("entity_id", "country_norm", t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin_key"))
+    return keyed.select("entity_id", "twin_key", (F.count(F.lit(1)).over(Window.partitionBy("country_norm", "twin_key")) - 1).alias("twins"))
+
+
+def _block(spark, d, kind):
+    return m.block(*_sides(spark, d), kind)
+
+
+def idf_vocab(spark, d):
+    _, rec = _sides(spark, d)
+    return index.vocabulary(rec, index.token_rows(rec, m.NAME()), 0.1).withColumn("idf", F.round("idf", 6))
+
+
+def _top(spark, d, tokens, k, n):
+    return index.top_k(*_sides(spark, d), tokens, 0.1, k, n).withColumnsRenamed({"q": "s1_id", "d": "rec_id"})
+
+
+def reverse_top3(spark, d):
+    return m.reverse_links(*_sides(spark, d))
+
+
+def reverse_capped(spark, d):
+    return m.cap_links(reverse_top3(spark, d))
+
+
+def candidate_union(spark, d):
+    return m.candidates(*_sides(spark, d))
+
+
+def _texts(spark, d):
+    s1, rec = _sides(spark, d)
+    return m.with_texts(m.cap_links(m.reverse_links(s1, rec)).select("country", "s1_id", "rec_id"), s1, rec)
+
+
+def sim_jaro_winkler(spark, d):
+    return _texts(spark, d).select("s1_id", "rec_id", F.round(UDFS["jaro_winkler"]("q_name_core", "c_name_core"), 6).alias("sim"))
+
+
+def sim_levenshtein(spark, d):
+    a, b = F.col("q_name_core"), F.col("c_name_core")
+    distance = F.levenshtein(a, b)
+    sim = F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.try_divide(distance, F.greatest(F.length(a), F.length(b))))
+    return _texts(spark, d).select("s1_id", "rec_id", distance.cast("long").alias("distance"), F.round(sim, 6).alias("sim"))
+
+
+def sim_indel_family(spark, d):
+    names = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
+    return _texts(spark, d).select("s1_id", "rec_id", *[F.round(UDFS[n]("q_name_core", "c_name_core"), 6).alias(n) for n in names])
+
+
+def cheap_rank(spark, d):
+    s1, rec = _sides(spark, d)
+    pairs = m.with_texts(m.candidates(s1, rec), s1, rec)
+    sim = UDFS["weighted_ratio"]
+    return m.rank_score(pairs, sim("q_name_core", "c_name_core"), sim("q_addr_street", "c_addr_street"))
+
+
+def compress_adaptive(spark, d):
+    return m.compress(cheap_rank(spark, d)).select("country", "s1_id", "rec_id", "rank_score", "rn", "budget", "protected")
+
+
+def pair_features(spark, d):
+    s1, rec = _sides(spark, d)
+    return features.pair_features(m.compress(cheap_rank(spark, d)), s1, rec)
+
+
+def split_buckets(spark, d):
+    bucket = records.split_bucket(F.col("entity_id"))
+    return records.rec_view(spark, d).select("entity_id", bucket.alias("bucket"), (bucket < 5).alias("held_out"))
+
+
+def truth(spark, d):
+    """country, s1_id, rec_id: the smallest S1 record with the same eight words."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    key = F.array_join(F.slice(t.tokens(t.alnum_only(t.to_ascii(F.col("text")))), 1, 8), " ")
+    keyed = docs.select("doc_id", (F.substring("source", 4, 9).cast("int") % 3 + 1).alias("tier"), F.col("lang").alias("country"), key.alias("key"))
+    owners = keyed.where("tier = 1 and key <> ''").groupBy("country", "key").agg(F.min("doc_id").alias("owner"))
+    found = keyed.where("tier > 1").join(owners, ["country", "key"])
+    return found.select("country", F.concat(F.lit("S1_"), "owner").alias("s1_id"), F.concat(F.lit("S"), "tier", F.lit("_"), "doc_id").alias("rec_id"))
+
+
+def _universe(spark, d):
+    return _sides(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
+
+
+def label_pairs(spark, d):
+    own = truth(spark, d).select("s1_id", "rec_id", F.lit(1).alias("label"))
+    return reverse_capped(spark, d).select("s1_id", "rec_id").join(own, ["s1_id", "rec_id"], "left").na.fill(0, ["label"])
+
+
+def scored_pairs(spark, d):
+    """Capped reverse links with a score from the link and two token-set Jaccards."""
+    s1, rec = _sides(spark, d)
+    pairs = m.with_texts(m.cap_links(m.reverse_links(s1, rec)), s1, rec)
+
+    def share(c):
+        a, b = F.array_distinct(t.tokens(F.col("q_" + c))), F.array_distinct(t.tokens(F.col("c_" + c)))
+        return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
+
+    p = F.round((F.col("score") + share("name_core") + share("addr_street")) / 3, 6)
+    return pairs.select("country", "s1_id", "rec_id", "score", "rank", "margin", p.alias("p"))
+
+
+def _decided(spark, d, **how):
+    return m.decide(scored_pairs(spark, d), THRESHOLD, **how).select("country", "s1_id", "rec_id", "p")
+
+
+def _counts(spark, d):
+    return m.entity_counts(_universe(spark, d), truth(spark, d), _decided(spark, d, unique=True))
+
+
+def entity_f05(spark, d):
+    return _counts(spark, d).withColumn("f05", F.round(m.f_half(), 6))
+
+
+def macro_f05(spark, d):
+    return m.macro_metrics(_counts(spark, d))
+
+
+def candidate_metrics(spark, d):
+    counts = m.entity_counts(_universe(spark, d), truth(spark, d), reverse_capped(spark, d))
+    # The percentile is the element at floor(q * n) of the sorted sizes: found in a
+    # histogram of sizes, which is small, so that no task sees all entities.
+    sizes = counts.groupBy("n_pred").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy("n_pred")
+    stepped = sizes.select("n_pred", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
+    p95 = stepped.where("upto >= least(n, floor(0.95D * n) + 1)").agg(F.min("n_pred").alias("p95"))
+    totals = counts.agg(F.sum("n_hit").alias("n_hit"), F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pairs"), F.round(F.try_divide(F.sum("n_hit"), F.sum("n_true")), 6).alias("recall"), F.round(F.avg("n_pred"), 6).alias("avg_size"), F.sum((F.col("n_pred") == 0).cast("long")).alias("n_empty"))
+    return totals.join(F.broadcast(p95))
+
+
+def threshold_sweep(spark, d):
+    return m.threshold_sweep(_universe(spark, d), truth(spark, d), scored_pairs(spark, d), GRID)
+
+
+def error_attribution(spark, d):
+    own, found = truth(spark, d), _decided(spark, d, unique=True)
+    links = reverse_capped(spark, d).select("s1_id", "rec_id", F.lit(1).alias("c"))
+    missed = own.join(found, ["s1_id", "rec_id"], "left_anti").join(links, ["s1_id", "rec_id"], "left").select(F.when(F.col("c").isNull(), "fn_blocking").otherwise("fn_matcher").alias("kind"))
+    false = found.join(own.select("rec_id", F.col("s1_id").alias("owner")), "rec_id", "left").where("owner is null or owner <> s1_id").select(F.when(F.col("owner").isNull(), "fp_unowned").otherwise("fp_other_owner").alias("kind"))
+    return missed.unionByName(false).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ce_pair_text(spark, d):
+    side = lambda p: F.concat_ws(" ; ", p + "name_alnum", p + "addr_street")
+    return _texts(spark, d).select("s1_id", "rec_id", side("q_").alias("a"), side("c_").alias("b"))
+
+
+def blend_scores(spark, d):
+    return learning.blend(scored_pairs(spark, d), 0.679, 0.621, 0.0).select("s1_id", "rec_id", F.round("blended", 6).alias("blended"))
+
+
+def anchors(spark, d):
+    return learning.anchors(scored_pairs(spark, d), confident=0.6, n=3)
+
+
+def stage2_group_stats(spark, d):
+    return learning.group_stats(scored_pairs(spark, d)).select("s1_id", "rec_id", "p", "g_max", F.round("g_sum", 6).alias("g_sum"), "g_size", "g_strong", "g_rank")
+
+
+def gbt_matcher(spark, d):
+    return learning.gbt_matcher(pair_features(spark, d), truth(spark, d))
+
+
+def matching_results(spark, d):
+    return records.id_lists(_sides(spark, d)[0], _decided(spark, d, unique=True), "matched_entity_ids")
+
+
+_PLAIN = (
+    norm_record, phonetic_skeleton, joint_skeleton, tok4_tokens, joint_tokens, char_ngrams_df, url_tokens, name_key_counts, twin_counts, idf_vocab, reverse_top3, reverse_capped, candidate_union,
+    sim_jaro_winkler, sim_levenshtein, sim_indel_family, cheap_rank, compress_adaptive, pair_features, split_buckets, label_pairs, scored_pairs, entity_f05, macro_f05, candidate_metrics,
+    threshold_sweep, error_attribution, ce_pair_text, blend_scores, anchors, stage2_group_stats, gbt_matcher, matching_results,
+)
+QUERIES = {f.__name__: f for f in _PLAIN}
+QUERIES |= {f"block_{k}": partial(_block, kind=k) for k in ("exact_name", "core", "sorted", "postal_house")}
+QUERIES |= {
+    "topk_name_ngram": partial(_top, tokens=m.NAME, k=50, n=12),
+    "topk_addr_word": partial(_top, tokens=m.ADDR_WORDS, k=50, n=10),
+    "topk_addr_ngram": partial(_top, tokens=m.ADDR_GRAMS, k=20, n=10),
+    "topk_joint": partial(_top, tokens=m.JOINT, k=20, n=16),
+    "decide_threshold": _decided,
+    "decide_margin": partial(_decided, margin=0.1),
+    "decide_unique": partial(_decided, unique=True),
+}
