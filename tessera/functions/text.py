@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,13 +83,12 @@ def skeleton(t: Column) -> Column:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(s, r"(.)\1+", "$1")
     s = F.regexp_replace(s, "^[aeiou]", "a")
-    s = F.concat(F.substring(s, 1, 1), F.regexp_replace(F.substring(s, 2, 1 << 20), "[aeiouyh]", ""))
+    s = F.regexp_replace(s, "(?<=.)[aeiouyh]", "")
     return F.regexp_replace(s, r"(.)\1+", "$1")
 
 
 def joint_skeleton(t: Column) -> Column:
-    s = F.regexp_replace(t, r"(.)\1+", "$1")
-    return F.concat(F.substring(s, 1, 1), F.regexp_replace(F.substring(s, 2, 1 << 20), "[aeiouyhw]", ""))
+    return F.regexp_replace(F.regexp_replace(t, r"(.)\1+", "$1"), "(?<=.)[aeiouyhw]", "")
 
 
 def numbers(c: Column) -> Column:
@@ -101,9 +102,16 @@ def _units(addr: Column) -> Column:
     return F.transform(tokens(addr), unit)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pairs(values: Column) -> Column:
-    sized = F.array_sort(F.array_distinct(values))
-    return F.flatten(F.transform(sized, lambda x: F.transform(F.filter(sized, lambda y: y > x), lambda y: F.concat(x, F.lit("_"), y))))
+    def all_pairs(xs: Column) -> Column:
+        return F.flatten(F.transform(xs, lambda x: F.transform(F.filter(xs, lambda y: y > x), lambda y: F.concat(x, F.lit("_"), y))))
+
+    return let(F.array_sort(F.array_distinct(values)), all_pairs)
 
 
 def name_skeletons(name: Column) -> Column:
@@ -112,12 +120,19 @@ def name_skeletons(name: Column) -> Column:
 
 def tok4(name: Column, addr: Column) -> Column:
     """The six kinds of tokens of a name and an address, distinct and prefixed."""
-    names, parts, units = name_skeletons(name), tokens(addr), _units(addr)
-    tag = lambda p, xs: F.transform(xs, lambda x: F.concat(F.lit(p), x))
-    alpha = F.transform(F.filter(parts, lambda t: t.rlike("^[a-z]+$") & (F.length(t) > 1)), skeleton)
-    codes = F.filter(parts, lambda t: t.rlike("[0-9]") & t.rlike("[a-z]"))
-    bigrams = F.when(F.size(units) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(units) - 1)), lambda i: F.concat(F.get(units, i - 1), F.lit("_"), F.get(units, i)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(tag("n:", names), tag("a:", alpha), tag("c:", codes), tag("d:", numbers(addr)), tag("b:", bigrams), tag("p:", _pairs(names))))
+
+    def tag(p: str, xs: Column) -> Column:
+        return F.transform(xs, lambda x: F.concat(F.lit(p), x))
+
+    def kinds(v: Column) -> Column:
+        names, parts, units = v["names"], v["parts"], v["units"]
+        alpha = F.transform(F.filter(parts, lambda t: t.rlike("^[a-z]+$") & (F.length(t) > 1)), skeleton)
+        codes = F.filter(parts, lambda t: ~t.rlike("^[a-z]+$") & ~t.rlike("^[0-9]+$"))
+        ends = F.slice(units, 2, 1 << 20)
+        bigrams = F.filter(F.zip_with(units, ends, lambda x, y: F.concat(x, F.lit("_"), y)), lambda x: x.isNotNull())
+        return F.array_distinct(F.concat(tag("n:", names), tag("a:", alpha), tag("c:", codes), tag("d:", v["numbers"]), tag("b:", bigrams), tag("p:", _pairs(names))))
+
+    return let(F.struct(name_skeletons(name).alias("names"), tokens(addr).alias("parts"), _units(addr).alias("units"), numbers(addr).alias("numbers")), kinds)
 
 
 def joint_tokens(name: Column, addr: Column) -> Column:
