@@ -6,6 +6,9 @@ one returns packed pieces).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +18,32 @@ from .common import table
 from .encoders import public_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _keeping_columns(stage: Stage) -> Stage:
+    """Carry other columns through under names that no operator uses."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        safe = [c if c in _USED else f"_carried_{i}" for i, c in enumerate(names)]
+        return stage(spark, docs.toDF(*safe), sf_dir).toDF(*names)
+
+    return run
+
+
+@_keeping_columns
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score is 0.5 or more."""
     machine = tox.train(docs, table(spark, sf_dir, "labels"))
     text = F.col("text").cast("string")
-    named = docs.drop("score").withColumn("text", text)
+    named = docs.withColumn("text", text)
     return tox.score(named, machine).where("score < 0.5").select(*named.columns)
 
 
+@_keeping_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group (five words a shingle, similarity 0.8)."""
     found = minhash.near_duplicates(docs, width=5, num=8, den=10)
@@ -34,11 +55,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
 
 
+@_keeping_columns
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 200 bytes and more that occur twice, in whole characters."""
     return suffix_dedup.cut_repeats(docs, characters=True).select(*docs.columns)
 
 
+@_keeping_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources come near their target shares."""
     return mixing.mix(docs).select(*docs.columns)
