@@ -39,6 +39,8 @@ REGISTERS = 128
 ROWS = 4
 BANDS = REGISTERS // ROWS
 BLOCK = 192
+#: A pivot's members are spread over so many tasks where its block count joins them.
+SALTS = 64
 #: Chance that the registers of different least hashes are equal.
 COLLISION = 1 / 3 / 1024
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -181,7 +183,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where("n > 1").drop("n")
     stars = materialize(banded.join(shared, ["band", "key"]).select("pivot", "rid").where("rid <> pivot").distinct(), "stars")
     blocks = stars.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = materialize(stars.join(blocks, "pivot").select("pivot", "rid", "parts", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(0).cast("long").alias("part")), "blocks")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    salted = stars.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    counted = salted.join(blocks.where("parts > 1").withColumn("salt", salts), ["pivot", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = materialize(counted.select("pivot", "rid", "parts", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(0).cast("long").alias("part")), "blocks")
     pivots = blocks.select("pivot", F.col("pivot").alias("rid"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>")).alias("part"))
     first = dealt.unionByName(pivots).select("pivot", "part", "rid", F.lit(-1).cast("long").alias("known"), F.lit(2).alias("side"))
     wanted = reps.select("rid")
@@ -190,8 +195,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     found = materialize(components(edges), "components")
     # Pivots of several blocks whose members are in several components: pairs of blocks.
     many = dealt.where("parts > 1").unionByName(pivots.where("parts > 1 and part = 0")).join(found.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    open_ = many.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot")
-    rest = materialize(many.join(open_, "pivot", "left_semi"), "open")
+    spans = many.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parts").alias("parts"))
+    open_ = spans.where("lo < hi").select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>")).alias("part"))
+    rest = materialize(many.join(open_, ["pivot", "part"], "left_semi"), "open")
     if rest.limit(1).count():
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>"))
         crossed = rest.withColumn("other", other).where("other <> part").select(
