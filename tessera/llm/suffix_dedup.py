@@ -411,7 +411,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*text_key(), text, F.col("doc_id").cast("long").alias("doc_id"))
     slim = materialize(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")), "texts")
     anchors = materialize(keyed.select("k1", "k2", "text").mapInArrow(_anchor_rows, "gram long, k1 long, k2 long, a int"), "anchors")
-    common = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    common = materialize(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     wanted = anchors.join(common, "gram").groupBy("k1", "k2").agg(F.collect_set("a").alias("at"))
     lists = wanted.join(slim.select("k1", "k2", "rep"), ["k1", "k2"])
     texts = keyed.join(lists, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k1", "k2", "text", "at")
