@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -11,6 +13,11 @@ def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel on Python integers."""
     if len(a) > len(b):
         a, b = b, a
+    # What both begin with is common; token_set_ratio compares strings of the same beginning.
+    same = len(a) if b.startswith(a) else next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
+    a, b = a[same:], b[same:]
+    if not a:
+        return same
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -19,7 +26,7 @@ def lcs(a: str, b: str) -> int:
     for c in b:
         m = v & places.get(c, 0)
         v = (v + m | v - m) & full
-    return len(a) - v.bit_count()
+    return same + len(a) - v.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -27,15 +34,32 @@ def ratio(a: str, b: str) -> float:
     return 100.0 * 2 * lcs(a, b) / total if total else 100.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string to a window of the longer one, cut ones at the edges too."""
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best ratio of the shorter string to a window of the longer one, cut ones at the edges too.
+
+    A window moved by one place gains at most one common character, so places that
+    cannot beat the best so far are passed over; the result is that of all windows.
+    A best ratio of ``least`` or less may come out lower.
+    """
     if len(a) > len(b):
         a, b = b, a
-    n = len(a)
+    n, m = len(a), len(b)
     if not n:
         return 0.0 if b else 100.0
-    windows = {b[max(0, i) : i + n] for i in range(1 - n, len(b))}
-    return max(ratio(a, w) for w in windows)
+    found, bar, i = 0.0, least, 0
+    while i <= m - n and bar < 100.0:
+        common = lcs(a, b[i : i + n])
+        found = max(found, 100.0 * 2 * common / (2 * n))
+        bar = max(bar, found)
+        i += max(1, int(bar * n / 100 - common))
+    for edge in (lambda k: b[:k], lambda k: b[m - k :]):
+        k = 1
+        while k < n and bar < 100.0:
+            common = lcs(a, edge(k))
+            found = max(found, 100.0 * 2 * common / (n + k))
+            bar = max(bar, found)
+            k += max(1, int((bar * (n + k) / 200 - common) / (1 - bar / 200)))
+    return found
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -73,7 +97,8 @@ def weighted_ratio(a: str, b: str) -> float:
     if spread < 1.5:
         return max(best, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
     scale = 0.9 if spread <= 8 else 0.6
-    return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+    best = max(best, 0.95 * scale * partial_token_ratio(a, b))
+    return max(best, scale * partial_ratio(a, b, best / scale))
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -82,12 +107,16 @@ def jaro_winkler(a: str, b: str) -> float:
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
     used = [False] * len(b)
     found = []
+    places: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, deque()).append(j)
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                found.append(c)
-                break
+        free = places.get(c, ())
+        while free and free[0] < i - reach:
+            free.popleft()
+        if free and free[0] <= i + reach:
+            used[free.popleft()] = True
+            found.append(c)
     m = len(found)
     if not m:
         return 0.0

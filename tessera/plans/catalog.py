@@ -20,38 +20,38 @@ THRESHOLD = 0.3
 GRID = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rec = records.rec_view(spark, d)
+def _sides(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    rec = records.rec_view(spark, d, whole)
     return rec.where("tier = 1"), rec.where("tier > 1")
 
 
-def norm_record(spark, d):
-    return records.rec_view(spark, d).drop("tier")
+def norm_record(spark, d, whole=False):
+    return records.rec_view(spark, d, whole).drop("tier")
 
 
-def _words(spark, d):
-    rec = records.rec_view(spark, d)
+def _words(spark, d, whole=False):
+    rec = records.rec_view(spark, d, whole)
     return rec.select(F.explode(F.array_distinct(t.tokens(F.concat_ws(" ", "name_alnum", "addr_alnum", "addr_street")))).alias("tok")).distinct()
 
 
-def phonetic_skeleton(spark, d):
-    return _words(spark, d).select("tok", t.skeleton(F.col("tok")).alias("skeleton"))
+def phonetic_skeleton(spark, d, whole=False):
+    return _words(spark, d, whole).select("tok", t.skeleton(F.col("tok")).alias("skeleton"))
 
 
-def joint_skeleton(spark, d):
-    return _words(spark, d).select("tok", t.joint_skeleton(F.col("tok")).alias("skeleton"))
+def joint_skeleton(spark, d, whole=False):
+    return _words(spark, d, whole).select("tok", t.joint_skeleton(F.col("tok")).alias("skeleton"))
 
 
-def tok4_tokens(spark, d):
-    return index.token_rows(records.rec_view(spark, d), m.TOK4())
+def tok4_tokens(spark, d, whole=False):
+    return index.token_rows(records.rec_view(spark, d, whole), m.TOK4())
 
 
-def joint_tokens(spark, d):
-    return index.token_rows(records.rec_view(spark, d), m.JOINT())
+def joint_tokens(spark, d, whole=False):
+    return index.token_rows(records.rec_view(spark, d, whole), m.JOINT())
 
 
-def char_ngrams_df(spark, d):
-    return index.token_rows(records.rec_view(spark, d), m.NAME()).groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))
+def char_ngrams_df(spark, d, whole=False):
+    return index.token_rows(records.rec_view(spark, d, whole), m.NAME()).groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))
 
 
 def url_tokens(spark, d):
@@ -60,42 +60,42 @@ def url_tokens(spark, d):
     return pages.select("page_id", F.explode(words).alias("tok")).distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
 
 
-def name_key_counts(spark, d):
-    return records.rec_view(spark, d).groupBy(F.col("country_norm").alias("country"), t.name_key(F.col("name_core")).alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
+def name_key_counts(spark, d, whole=False):
+    return records.rec_view(spark, d, whole).groupBy(F.col("country_norm").alias("country"), t.name_key(F.col("name_core")).alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def twin_counts(spark, d):
-    keyed = records.rec_view(spark, d).select("entity_id", "country_norm", t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin_key"))
+def twin_counts(spark, d, whole=False):
+    keyed = records.rec_view(spark, d, whole).select("entity_id", "country_norm", t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin_key"))
     return keyed.select("entity_id", "twin_key", (F.count(F.lit(1)).over(Window.partitionBy("country_norm", "twin_key")) - 1).alias("twins"))
 
 
-def _block(spark, d, kind):
-    return m.block(*_sides(spark, d), kind)
+def _block(spark, d, kind, whole=False):
+    return m.block(*_sides(spark, d, whole), kind)
 
 
-def idf_vocab(spark, d):
-    _, rec = _sides(spark, d)
+def idf_vocab(spark, d, whole=False):
+    _, rec = _sides(spark, d, whole)
     return index.vocabulary(rec, index.token_rows(rec, m.NAME()), 0.1).withColumn("idf", F.round("idf", 6))
 
 
-def _top(spark, d, tokens, k, n):
-    return index.top_k(*_sides(spark, d), tokens, 0.1, k, n).withColumnsRenamed({"q": "s1_id", "d": "rec_id"})
+def _top(spark, d, tokens, k, n, whole=False):
+    return index.top_k(*_sides(spark, d, whole), tokens, 0.1, k, n).withColumnsRenamed({"q": "s1_id", "d": "rec_id"})
 
 
-def reverse_top3(spark, d):
-    return m.reverse_links(*_sides(spark, d))
+def reverse_top3(spark, d, whole=False):
+    return m.reverse_links(*_sides(spark, d, whole))
 
 
-def reverse_capped(spark, d):
-    return m.cap_links(reverse_top3(spark, d))
+def reverse_capped(spark, d, whole=False):
+    return m.cap_links(reverse_top3(spark, d, whole))
 
 
-def candidate_union(spark, d):
-    return m.candidates(*_sides(spark, d))
+def candidate_union(spark, d, whole=False):
+    return m.candidates(*_sides(spark, d, whole))
 
 
-def _texts(spark, d):
-    s1, rec = _sides(spark, d)
+def _texts(spark, d, whole=False):
+    s1, rec = _sides(spark, d, whole)
     return m.with_texts(m.cap_links(m.reverse_links(s1, rec)).select("country", "s1_id", "rec_id"), s1, rec)
 
 
@@ -112,11 +112,11 @@ def sim_levenshtein(spark, d):
 
 def sim_indel_family(spark, d):
     names = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
-    return _texts(spark, d).select("s1_id", "rec_id", *[F.round(UDFS[n]("q_name_core", "c_name_core"), 6).alias(n) for n in names])
+    return _texts(spark, d, whole=True).select("s1_id", "rec_id", *[F.round(UDFS[n]("q_name_core", "c_name_core"), 6).alias(n) for n in names])
 
 
 def cheap_rank(spark, d):
-    s1, rec = _sides(spark, d)
+    s1, rec = _sides(spark, d, whole=True)
     pairs = m.with_texts(m.candidates(s1, rec), s1, rec)
     sim = UDFS["weighted_ratio"]
     return m.rank_score(pairs, sim("q_name_core", "c_name_core"), sim("q_addr_street", "c_addr_street"))
@@ -127,7 +127,7 @@ def compress_adaptive(spark, d):
 
 
 def pair_features(spark, d):
-    s1, rec = _sides(spark, d)
+    s1, rec = _sides(spark, d, whole=True)
     return features.pair_features(m.compress(cheap_rank(spark, d)), s1, rec)
 
 
@@ -136,10 +136,11 @@ def split_buckets(spark, d):
     return records.rec_view(spark, d).select("entity_id", bucket.alias("bucket"), (bucket < 5).alias("held_out"))
 
 
-def truth(spark, d):
-    """country, s1_id, rec_id: the smallest S1 record with the same eight words."""
+def truth(spark, d, whole=False):
+    """country, s1_id, rec_id: the smallest S1 record with the same eight words, or all words where ``whole``."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
-    key = F.array_join(F.slice(t.tokens(t.alnum_only(t.to_ascii(F.col("text")))), 1, 8), " ")
+    text = t.alnum_only(t.to_ascii(F.col("text")))
+    key = F.when(text == "", "").otherwise(F.sha2(text, 256)) if whole else F.array_join(F.slice(t.tokens(text), 1, 8), " ")
     keyed = docs.select("doc_id", (F.substring("source", 4, 9).cast("int") % 3 + 1).alias("tier"), F.col("lang").alias("country"), key.alias("key"))
     owners = keyed.where("tier = 1 and key <> ''").groupBy("country", "key").agg(F.min("doc_id").alias("owner"))
     found = keyed.where("tier > 1").join(owners, ["country", "key"])
@@ -226,7 +227,7 @@ def stage2_group_stats(spark, d):
 
 
 def gbt_matcher(spark, d):
-    return learning.gbt_matcher(pair_features(spark, d), truth(spark, d))
+    return learning.gbt_matcher(pair_features(spark, d), truth(spark, d, whole=True))
 
 
 def matching_results(spark, d):
@@ -249,3 +250,7 @@ QUERIES |= {
     "decide_margin": partial(_decided, margin=0.1),
     "decide_unique": partial(_decided, unique=True),
 }
+#: The SQL reads 24 words of a text (8 for the truth). Each query bound to it that reads
+#: addresses has a twin over whole texts, without SQL; those without SQL read whole texts.
+_CUT = ("norm_record", "phonetic_skeleton", "joint_skeleton", "tok4_tokens", "joint_tokens", "twin_counts", "reverse_top3", "reverse_capped", "candidate_union", "topk_addr_word", "topk_addr_ngram", "topk_joint")
+QUERIES |= {f"whole_{q}": partial(QUERIES[q], whole=True) for q in _CUT}

@@ -38,13 +38,16 @@ def _normal(df: DataFrame, country, name, addr, digits_of) -> DataFrame:
     )
 
 
-def rec_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` recast as records: four words of name, twenty of address, three tiers."""
+def rec_view(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """``documents`` recast as records of three tiers: four words of name, then the address.
+
+    The address is all other words where ``whole``, else twenty, as the SQL has it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     words = t.tokens(t.alnum_only(t.to_ascii(F.coalesce("text", F.lit("")))))
     tier = F.substring("source", 4, 9).cast("int") % 3 + 1
-    cut = docs.select(F.concat(F.lit("S"), tier, F.lit("_"), "doc_id").alias("entity_id"), "lang", F.slice(words, 1, 24).alias("w"), F.coalesce("text", F.lit("")).alias("text"), tier.alias("tier"))
-    normal = _normal(cut, F.col("lang"), F.array_join(F.slice("w", 1, 4), " "), F.array_join(F.slice("w", 5, 20), " "), F.col("text"))
+    cut = docs.select(F.concat(F.lit("S"), tier, F.lit("_"), "doc_id").alias("entity_id"), "lang", (words if whole else F.slice(words, 1, 24)).alias("w"), F.coalesce("text", F.lit("")).alias("text"), tier.alias("tier"))
+    normal = _normal(cut, F.col("lang"), F.array_join(F.slice("w", 1, 4), " "), F.array_join(F.slice("w", F.lit(5), F.greatest(F.lit(20), F.size("w"))), " "), F.col("text"))
     return normal.withColumn("tier", F.substring("entity_id", 2, 1).cast("int"))
 
 

@@ -1,0 +1,115 @@
+"""Queries over whole texts, held against brute force."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from tessera.functions import similarity as sim
+from tessera.plans import catalog
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """Documents that share their first 24 words or only later ones."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("bdfgklmnprst", k=5))
+    head = [word() for _ in range(24)]
+    tails = [[word() for _ in range(40)] for _ in range(6)]
+    texts = [" ".join(head + tails[i % 3]) for i in range(6)]
+    texts += [" ".join([word() for _ in range(24)] + tails[3 + i % 3]) for i in range(6)]
+    texts += [" ".join(word() for _ in range(rng.randint(1, 80))) for _ in range(60)] + ["", None]
+    path = str(tmp_path_factory.mktemp("far"))
+    rows = [(i, x, "en", f"src{i % 2 if i < 3 or 6 <= i < 9 else i % 3}") for i, x in enumerate(texts)]
+    rows = [(i, x, y, "src0" if i in (0, 1, 2, 6, 7, 8) else "src1" if i < 12 else z) for i, x, y, z in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return path, rows
+
+
+def test_whole_records(spark, far):
+    path, rows = far
+    got = {int(r.entity_id.split("_")[1]): r for r in catalog.QUERIES["whole_norm_record"](spark, path).collect()}
+    for i, text, *_ in rows:
+        w = (text or "").split()
+        assert (got[i].name_alnum, got[i].addr_alnum) == (" ".join(w[:4]), " ".join(w[4:]))
+    words = {w for _, text, *_ in rows for w in (text or "").split()}
+    assert {r.tok for r in catalog.QUERIES["whole_phonetic_skeleton"](spark, path).collect()} == words
+
+
+def test_whole_truth(spark, far):
+    path, rows = far
+    owner = {}
+    for i, text, _, source in rows:
+        if source == "src0" and text:
+            owner.setdefault(text, i)
+    want = {(f"S1_{owner[text]}", i) for i, text, _, source in rows if source != "src0" and text in owner}
+    assert len(want) == 3
+    assert {(r.s1_id, int(r.rec_id.split("_")[1])) for r in catalog.truth(spark, path, whole=True).collect()} == want
+
+
+def test_whole_reverse(spark, far):
+    path, _ = far
+    tokens = defaultdict(set)
+    for r in catalog.QUERIES["whole_tok4_tokens"](spark, path).collect():
+        tokens[r.id].add(r.tok)
+    ids = [r.entity_id for r in catalog.QUERIES["whole_norm_record"](spark, path).select("entity_id").collect()]
+    s1, rec = [x for x in ids if x.startswith("S1")], [x for x in ids if not x.startswith("S1")]
+    df = Counter(tok for x in s1 for tok in tokens[x])
+    idf = {tok: math.log(1 + len(s1) / (1 + n)) for tok, n in df.items()}
+    norm = lambda x: math.sqrt(sum(idf[tok] ** 2 for tok in tokens[x] if tok in idf))
+    want = set()
+    for q in rec:
+        known = sorted((df[tok], tok) for tok in tokens[q] if tok in df and df[tok] <= max(1, math.floor(len(s1) * 0.1)))
+        sums = defaultdict(float)
+        for _, tok in known[:20]:
+            for d in s1:
+                sums[d] += idf[tok] ** 2 if tok in tokens[d] else 0
+        best = sorted((-round(v / (norm(q) * norm(d)), 6), d) for d, v in sums.items() if v)
+        want |= {(q, d, -v) for v, d in best[:3]}
+    got = {(r.rec_id, r.s1_id, r.score) for r in catalog.QUERIES["whole_reverse_top3"](spark, path).collect()}
+    assert got == want
+    met = {(q.split("_")[1], d.split("_")[1]) for q, d, _ in got}
+    assert {("9", "6"), ("10", "7"), ("11", "8")} <= met  # these agree after word 24 only
+    cut = {(r.rec_id.split("_")[1], r.s1_id.split("_")[1]) for r in catalog.QUERIES["reverse_top3"](spark, path).collect()}
+    assert not {("9", "6"), ("10", "7"), ("11", "8")} & cut
+
+
+def test_similarities_of_long_strings():
+    rng = random.Random(4)
+
+    def windows(a, b):
+        a, b = sorted((a, b), key=len)
+        return max(sim.ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+
+    def jaro(a, b):
+        reach, used, found = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+        for i, c in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if j not in used and b[j] == c:
+                    used.add(j)
+                    found.append(c)
+                    break
+        n, swaps = len(found), sum(x != b[j] for x, j in zip(found, sorted(used), strict=True)) // 2
+        value = (n / len(a) + n / len(b) + (n - swaps) / n) / 3 if n else 0.0
+        prefix = next((i for i in range(min(4, len(a), len(b))) if a[i] != b[i]), min(4, len(a), len(b)))
+        return value + 0.1 * prefix * (1 - value) if value > 0.7 else value
+
+    def weighted(a, b):
+        spread = max(len(a), len(b)) / min(len(a), len(b))
+        best = sim.ratio(a, b)
+        if spread < 1.5:
+            return max(best, 0.95 * max(sim.token_sort_ratio(a, b), sim.token_set_ratio(a, b)))
+        scale = 0.9 if spread <= 8 else 0.6
+        both, x, y = sim._parts(a, b)
+        token = 100.0 if both else max(windows(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), windows(" ".join(x), " ".join(y)))
+        return max(best, scale * windows(a, b), 0.95 * scale * token)
+
+    for n in range(400):
+        a = "x" + "".join(rng.choices("ab cdefgh"[: 3 + n % 7], k=rng.randint(0, 60)))
+        b = "y" + "".join(rng.choices("ab cdefgh"[: 3 + n % 7], k=rng.randint(0, 90)))
+        if n % 3 == 0:
+            b += a + b[:9]
+        assert abs(sim.partial_ratio(a, b) - windows(a, b)) < 1e-9
+        assert abs(sim.jaro_winkler(a, b) - jaro(a, b)) < 1e-9
+        assert abs(sim.weighted_ratio(a, b) - weighted(a, b)) < 1e-9
