@@ -94,20 +94,25 @@ def candidate_union(spark, d, whole=False):
     return m.candidates(*_sides(spark, d, whole))
 
 
+def _linked(spark, d, whole=False):
+    """The pairs that are scored, decided and measured: the compressed union of all channels where ``whole``, else reverse links."""
+    return compress_adaptive(spark, d) if whole else reverse_capped(spark, d)
+
+
 def _texts(spark, d, whole=False):
     s1, rec = _sides(spark, d, whole)
-    return m.with_texts(m.cap_links(m.reverse_links(s1, rec)).select("country", "s1_id", "rec_id"), s1, rec)
+    return m.with_texts(_linked(spark, d, whole).select("country", "s1_id", "rec_id"), s1, rec)
 
 
-def sim_jaro_winkler(spark, d):
-    return _texts(spark, d).select("s1_id", "rec_id", F.round(UDFS["jaro_winkler"]("q_name_core", "c_name_core"), 6).alias("sim"))
+def sim_jaro_winkler(spark, d, whole=False):
+    return _texts(spark, d, whole).select("s1_id", "rec_id", F.round(UDFS["jaro_winkler"]("q_name_core", "c_name_core"), 6).alias("sim"))
 
 
-def sim_levenshtein(spark, d):
+def sim_levenshtein(spark, d, whole=False):
     a, b = F.col("q_name_core"), F.col("c_name_core")
     distance = F.levenshtein(a, b)
     sim = F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.try_divide(distance, F.greatest(F.length(a), F.length(b))))
-    return _texts(spark, d).select("s1_id", "rec_id", distance.cast("long").alias("distance"), F.round(sim, 6).alias("sim"))
+    return _texts(spark, d, whole).select("s1_id", "rec_id", distance.cast("long").alias("distance"), F.round(sim, 6).alias("sim"))
 
 
 def sim_indel_family(spark, d):
@@ -147,19 +152,28 @@ def truth(spark, d, whole=False):
     return found.select("country", F.concat(F.lit("S1_"), "owner").alias("s1_id"), F.concat(F.lit("S"), "tier", F.lit("_"), "doc_id").alias("rec_id"))
 
 
-def _universe(spark, d):
-    return _sides(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
+def _universe(spark, d, whole=False):
+    return _sides(spark, d, whole)[0].select(F.col("entity_id").alias("s1_id"))
 
 
-def label_pairs(spark, d):
-    own = truth(spark, d).select("s1_id", "rec_id", F.lit(1).alias("label"))
-    return reverse_capped(spark, d).select("s1_id", "rec_id").join(own, ["s1_id", "rec_id"], "left").na.fill(0, ["label"])
+def label_pairs(spark, d, whole=False):
+    own = truth(spark, d, whole).select("s1_id", "rec_id", F.lit(1).alias("label"))
+    return _linked(spark, d, whole).select("s1_id", "rec_id").join(own, ["s1_id", "rec_id"], "left").na.fill(0, ["label"])
 
 
-def scored_pairs(spark, d):
-    """Capped reverse links with a score from the link and two token-set Jaccards."""
-    s1, rec = _sides(spark, d)
-    pairs = m.with_texts(m.cap_links(m.reverse_links(s1, rec)), s1, rec)
+def scored_pairs(spark, d, whole=False):
+    """Pairs with a score from the link and two token-set Jaccards.
+
+    Capped reverse links, or where ``whole`` the compressed union of all channels: score
+    is then the best of the channels' scores, and rank and margin are null without a
+    reverse link.
+    """
+    s1, rec = _sides(spark, d, whole)
+    if whole:
+        best = F.greatest(F.lit(0.0), "d_score", "e_score", "j_score", "r_score")
+        pairs = m.compress(cheap_rank(spark, d)).withColumns({"score": best, "rank": F.col("r_rank").cast("long"), "margin": F.col("r_margin")})
+    else:
+        pairs = m.with_texts(m.cap_links(m.reverse_links(s1, rec)), s1, rec)
 
     def share(c):
         a, b = F.array_distinct(t.tokens(F.col("q_" + c))), F.array_distinct(t.tokens(F.col("c_" + c)))
@@ -169,24 +183,24 @@ def scored_pairs(spark, d):
     return pairs.select("country", "s1_id", "rec_id", "score", "rank", "margin", p.alias("p"))
 
 
-def _decided(spark, d, **how):
-    return m.decide(scored_pairs(spark, d), THRESHOLD, **how).select("country", "s1_id", "rec_id", "p")
+def _decided(spark, d, whole=False, **how):
+    return m.decide(scored_pairs(spark, d, whole), THRESHOLD, **how).select("country", "s1_id", "rec_id", "p")
 
 
-def _counts(spark, d):
-    return m.entity_counts(_universe(spark, d), truth(spark, d), _decided(spark, d, unique=True))
+def _counts(spark, d, whole=False):
+    return m.entity_counts(_universe(spark, d, whole), truth(spark, d, whole), _decided(spark, d, whole, unique=True))
 
 
-def entity_f05(spark, d):
-    return _counts(spark, d).withColumn("f05", F.round(m.f_half(), 6))
+def entity_f05(spark, d, whole=False):
+    return _counts(spark, d, whole).withColumn("f05", F.round(m.f_half(), 6))
 
 
-def macro_f05(spark, d):
-    return m.macro_metrics(_counts(spark, d))
+def macro_f05(spark, d, whole=False):
+    return m.macro_metrics(_counts(spark, d, whole))
 
 
-def candidate_metrics(spark, d):
-    counts = m.entity_counts(_universe(spark, d), truth(spark, d), reverse_capped(spark, d))
+def candidate_metrics(spark, d, whole=False):
+    counts = m.entity_counts(_universe(spark, d, whole), truth(spark, d, whole), _linked(spark, d, whole))
     # The percentile is the element at floor(q * n) of the sorted sizes: found in a
     # histogram of sizes, which is small, so that no task sees all entities.
     sizes = counts.groupBy("n_pred").agg(F.count(F.lit(1)).alias("c"))
@@ -197,41 +211,41 @@ def candidate_metrics(spark, d):
     return totals.join(F.broadcast(p95))
 
 
-def threshold_sweep(spark, d):
-    return m.threshold_sweep(_universe(spark, d), truth(spark, d), scored_pairs(spark, d), GRID)
+def threshold_sweep(spark, d, whole=False):
+    return m.threshold_sweep(_universe(spark, d, whole), truth(spark, d, whole), scored_pairs(spark, d, whole), GRID)
 
 
-def error_attribution(spark, d):
-    own, found = truth(spark, d), _decided(spark, d, unique=True)
-    links = reverse_capped(spark, d).select("s1_id", "rec_id", F.lit(1).alias("c"))
+def error_attribution(spark, d, whole=False):
+    own, found = truth(spark, d, whole), _decided(spark, d, whole, unique=True)
+    links = _linked(spark, d, whole).select("s1_id", "rec_id", F.lit(1).alias("c"))
     missed = own.join(found, ["s1_id", "rec_id"], "left_anti").join(links, ["s1_id", "rec_id"], "left").select(F.when(F.col("c").isNull(), "fn_blocking").otherwise("fn_matcher").alias("kind"))
     false = found.join(own.select("rec_id", F.col("s1_id").alias("owner")), "rec_id", "left").where("owner is null or owner <> s1_id").select(F.when(F.col("owner").isNull(), "fp_unowned").otherwise("fp_other_owner").alias("kind"))
     return missed.unionByName(false).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ce_pair_text(spark, d):
+def ce_pair_text(spark, d, whole=False):
     side = lambda p: F.concat_ws(" ; ", p + "name_alnum", p + "addr_street")
-    return _texts(spark, d).select("s1_id", "rec_id", side("q_").alias("a"), side("c_").alias("b"))
+    return _texts(spark, d, whole).select("s1_id", "rec_id", side("q_").alias("a"), side("c_").alias("b"))
 
 
-def blend_scores(spark, d):
-    return learning.blend(scored_pairs(spark, d), 0.679, 0.621, 0.0).select("s1_id", "rec_id", F.round("blended", 6).alias("blended"))
+def blend_scores(spark, d, whole=False):
+    return learning.blend(scored_pairs(spark, d, whole), 0.679, 0.621, 0.0).select("s1_id", "rec_id", F.round("blended", 6).alias("blended"))
 
 
-def anchors(spark, d):
-    return learning.anchors(scored_pairs(spark, d), confident=0.6, n=3)
+def anchors(spark, d, whole=False):
+    return learning.anchors(scored_pairs(spark, d, whole), confident=0.6, n=3)
 
 
-def stage2_group_stats(spark, d):
-    return learning.group_stats(scored_pairs(spark, d)).select("s1_id", "rec_id", "p", "g_max", F.round("g_sum", 6).alias("g_sum"), "g_size", "g_strong", "g_rank")
+def stage2_group_stats(spark, d, whole=False):
+    return learning.group_stats(scored_pairs(spark, d, whole)).select("s1_id", "rec_id", "p", "g_max", F.round("g_sum", 6).alias("g_sum"), "g_size", "g_strong", "g_rank")
 
 
 def gbt_matcher(spark, d):
     return learning.gbt_matcher(pair_features(spark, d), truth(spark, d, whole=True))
 
 
-def matching_results(spark, d):
-    return records.id_lists(_sides(spark, d)[0], _decided(spark, d, unique=True), "matched_entity_ids")
+def matching_results(spark, d, whole=False):
+    return records.id_lists(_sides(spark, d, whole)[0], _decided(spark, d, whole, unique=True), "matched_entity_ids")
 
 
 _PLAIN = (
@@ -250,7 +264,12 @@ QUERIES |= {
     "decide_margin": partial(_decided, margin=0.1),
     "decide_unique": partial(_decided, unique=True),
 }
+_MEASURED = (
+    "sim_jaro_winkler", "sim_levenshtein", "label_pairs", "scored_pairs", "decide_threshold", "decide_margin", "decide_unique", "entity_f05", "macro_f05", "candidate_metrics",
+    "threshold_sweep", "error_attribution", "ce_pair_text", "blend_scores", "anchors", "stage2_group_stats", "matching_results",
+)
 #: The SQL reads 24 words of a text (8 for the truth). Each query bound to it that reads
 #: addresses has a twin over whole texts, without SQL; those without SQL read whole texts.
+#: The SQL also scores reverse links only; the twins score the compressed candidate union.
 _CUT = ("norm_record", "phonetic_skeleton", "joint_skeleton", "tok4_tokens", "joint_tokens", "twin_counts", "reverse_top3", "reverse_capped", "candidate_union", "topk_addr_word", "topk_addr_ngram", "topk_joint")
-QUERIES |= {f"whole_{q}": partial(QUERIES[q], whole=True) for q in _CUT}
+QUERIES |= {f"whole_{q}": partial(QUERIES[q], whole=True) for q in (*_CUT, *_MEASURED)}

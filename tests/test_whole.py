@@ -113,3 +113,30 @@ def test_similarities_of_long_strings():
         assert abs(sim.partial_ratio(a, b) - windows(a, b)) < 1e-9
         assert abs(sim.jaro_winkler(a, b) - jaro(a, b)) < 1e-9
         assert abs(sim.weighted_ratio(a, b) - weighted(a, b)) < 1e-9
+
+
+def test_scored_pairs_of_all_channels(spark, tmp_path):
+    """A record equal to five owners is linked to three of them; all five pairs are scored."""
+    rng = random.Random(6)
+    body = lambda n: " ".join("".join(rng.choices("bdfgklmnprst", k=5)) for _ in range(n))
+    same = body(40)
+    texts = [(i, same, "src0") for i in range(5)] + [(5, same, "src1")] + [(i, body(40), f"src{i % 3}") for i in range(6, 120)]
+    spark.createDataFrame([(i, x, "en", y) for i, x, y in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/pages.parquet")
+    scored = {(r.s1_id, r.rec_id): r for r in catalog.QUERIES["whole_scored_pairs"](spark, str(tmp_path)).collect()}
+    kept = {(r.s1_id, r.rec_id) for r in catalog.QUERIES["compress_adaptive"](spark, str(tmp_path)).select("s1_id", "rec_id").collect()}
+    assert set(scored) == kept
+    mine = {s for s, r in scored if r == "S2_5"}
+    assert {f"S1_{i}" for i in range(5)} <= mine
+    capped = {r.s1_id for r in catalog.QUERIES["whole_reverse_capped"](spark, str(tmp_path)).where("rec_id = 'S2_5'").collect()}
+    assert len(capped) <= 3
+    words = {f"S{int(y[3:]) % 3 + 1}_{i}": (set(x.split()[:4]), set(x.split()[4:])) for i, x, y in texts}
+    union = {(r.s1_id, r.rec_id): r for r in catalog.QUERIES["whole_candidate_union"](spark, str(tmp_path)).collect()}
+    for key, r in scored.items():
+        (n, a), (k, b), u = words[key[0]], words[key[1]], union[key]
+        best = max(x or 0.0 for x in (u.d_score, u.e_score, u.j_score, u.r_score))
+        assert abs(r.p - (best + len(n & k) / len(n | k) + len(a & b) / len(a | b)) / 3) < 2e-6
+    found = {r.s1_id: r for r in catalog.QUERIES["whole_entity_f05"](spark, str(tmp_path)).collect()}
+    assert (found["S1_0"].n_true, found["S1_0"].n_hit, found["S1_0"].f05) == (1, 1, 1.0)
+    got = catalog.QUERIES["whole_candidate_metrics"](spark, str(tmp_path)).collect()[0]
+    assert (got.n_pairs, got.n_hit, got.n_true) == (len(kept), 1, 1)
