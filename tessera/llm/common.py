@@ -1,72 +1,75 @@
-"""Scratch tables, partition counts and small column helpers shared by the operators."""
+"""Partition counts and small column helpers shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import math
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from tessera.scratch import materialize, remove, scratch_root, table, table_path
 
+__all__ = ["give_back", "materialize", "partitions_for", "remove", "scratch_root", "semi_by_id", "slices", "table", "table_path", "tidy", "utf8_size"]
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='tessera-')}")
-    return base.rstrip("/")
+#: Ids of at most so many rows may be broadcast (8 bytes each); beyond it tables are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+SLICE_BYTES = 2 << 20
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through the file system that Spark uses for it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def partitions_for(df: DataFrame, target_bytes: int, at_least: int | None = None) -> int:
+    """A partition count from the plan's size estimate; it grows with the input."""
+    spark = df.sparkSession
+    least = at_least or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, math.ceil(size / target_bytes)) if size < 1 << 56 else least
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_quiet_remove, spark, path)
-    return path
+def utf8_size(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def _quiet_remove(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may be gone when the interpreter ends
-        pass
+def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is in the stage table ``ids``.
 
+    Ids of a checked number are broadcast, so the rows left out never move; more ids are
+    joined by a shuffle, with the same result.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table read back.
 
-    This cuts the lineage: a lost executor re-reads files that all machines share. The
-    shuffle files behind the written table are released at once.
-    """
-    spark = df.sparkSession
-    path = path or table_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about ``limit`` bytes of text each, one row at least."""
+    text = batch.column(column)
+    n, lo, held = batch.num_rows, 0, 0
+    for i, size in enumerate(pc.binary_length(text).to_pylist()):
+        held += size or 0
+        if held >= limit:
+            yield batch.slice(lo, i + 1 - lo)
+            lo, held = i + 1, 0
+    if lo < n:
+        yield batch.slice(lo)
 
 
-def partitions_for(df: DataFrame, target_bytes: int, at_least: int | None = None) -> int:
-    """A partition count from the plan's size estimate; it grows with the input."""
-    spark = df.sparkSession
-    least = at_least or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, math.ceil(size / target_bytes)) if size < 1 << 56 else least
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A worker's function that gives memory back at the end of its task: workers are used again."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-def utf8_size(text: Column) -> Column:
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    return wrapped
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps (public algorithm).
 
 Edges stay distributed; each round is written to the shared folder. The number of rounds
-grows with the logarithm of the longest path.
+grows with the logarithm of the longest path. The least neighbours are written before they
+are joined, so that the join of a hub's edges can be split over tasks.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ def _digest(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a")
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 

@@ -9,17 +9,24 @@ give buckets of candidates; at a similarity of 0.85 a pair misses all of them wi
 probability below 1e-9.
 
 Documents with equal sets are folded into one first. The members of a bucket go with
-its smallest member (the pivot) in blocks of at most about ``BLOCK`` documents. Within a block, pairs
-that are not yet connected are compared: first by the Jaccard estimate of the
-registers, corrected for chance collisions, which only rejects beyond six standard
-deviations, then on the full sets. Where a pivot has more than one block and its
-members are still in several components, all pairs of blocks are compared in the same
-way, so no link between different components is lost.
+its smallest member (the pivot), in blocks of at most about ``BLOCK``. There the stored
+registers are compared: their Jaccard estimate, corrected for the chance collisions that
+the two set sizes make likely, rejects beyond six standard deviations only. Members
+without a likely partner go no further; the others form clusters, and only then texts
+move, filtered at the scan, and links are confirmed on full sets.
+
+Pivots of several blocks whose members are still in several components are open. Their
+members get new, more selective buckets (``WIDE_ROWS`` registers, ``WIDE`` draws), which
+grow with the members, not with their square. What is open after that is compared
+block by block, on registers of 256 bytes; likewise the parts of one cluster of more than
+``TEXTS`` texts. No link between different components is lost.
 
 Words are split at ASCII white space and A-Z are lowered. A text with fewer words than a
 shingle is one shingle; a text that is null or without words has the empty set and
 links with nothing. Rows with a null doc_id get a null component and are kept; repeated
-rows are returned each; an empty table gives an empty one; other columns are ignored.
+rows are returned each, and an id that repeats has the least component of its texts; ties go
+to the smaller id; a very long text is hashed whole, alone in its step; an empty table gives
+an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,21 +38,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize, semi_by_id, tidy
 from .components import UnionFind, components
 from .textvec import LOWER, chunks, mix, span_hashes, words
 
 REGISTERS = 128
 ROWS = 4
 BANDS = REGISTERS // ROWS
-BLOCK = 192
+WIDE_ROWS = 8
+WIDE = 96
+#: Members of a pivot whose registers are compared in one step, and texts in one step.
+BLOCK = 1024
+TEXTS = 192
 #: A pivot's members are spread over so many tasks where its block count joins them.
 SALTS = 64
-#: Chance that the registers of different least hashes are equal.
-COLLISION = 1 / 3 / 1024
+#: Chance that the registers of different least hashes of sets of equal size are equal:
+#: the constant of the published HyperMinHash estimate over the 10 bits of a register.
+COLLISION = 0.169919487159739 / 1024
 _rng = np.random.Generator(np.random.PCG64(77))
 _RANK = _rng.random((REGISTERS, REGISTERS))
 _TIMES = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DRAWS = np.stack([_rng.permutation(REGISTERS)[:WIDE_ROWS] for _ in range(WIDE)])
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(57)
 
 
@@ -115,31 +128,94 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _link_block(ids: list[int], sets: list[np.ndarray], known: list[int], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """A forest of the links between members that are not connected yet.
+def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How likely registers of different least hashes are equal, by the sizes of the sets."""
+    return COLLISION * 4 * a * b / (a + b) ** 2
+
+
+def may_link(regs: np.ndarray, size: np.ndarray, i: int, num: int, den: int) -> np.ndarray:
+    """Which of the members before ``i`` may reach the similarity, by sizes and registers."""
+    a, b = size[:i], size[i]
+    least = num / den
+    same = chance(a, b)
+    estimate = ((regs[:i] == regs[i]).mean(1) - same) / (1 - same)
+    filled = REGISTERS * -np.expm1(-np.minimum(a, b) / REGISTERS)
+    spread = np.sqrt(least * (1 - least) * (1 / filled + (1 - filled / REGISTERS) / REGISTERS))
+    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (estimate >= least - 6 * spread)
+
 
-    ``known``: components so far; ``sides``: 0 and 1 where only pairs across count, else 2.
+def clusters(regs: np.ndarray, size: np.ndarray, known: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A label for members with a likely partner that they are not connected with, else -1.
+
+    ``known``: components so far, -1 for none; ``side``: 0 and 1 where only pairs across count, else 2.
     """
-    n = len(ids)
+    label, likely = np.arange(len(regs)), np.zeros(len(regs), bool)
+    for i in range(1, len(regs)):
+        wanted = ((known[:i] != known[i]) | (known[i] < 0)) & ((side[:i] == 2) | (side[:i] != side[i]))
+        if not wanted.any():
+            continue
+        near = np.flatnonzero(wanted & may_link(regs, size, i, num, den))
+        if len(near):
+            likely[near] = likely[i] = True
+            joined = np.unique(np.append(label[near], label[i]))
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    return np.where(likely, label, -1)
+
+
+CLUSTER = "pivot long, part long, head long, sub long, subs long, rid long, known long"
+
+
+def _cuts(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal rows of sorted columns."""
+    n = len(columns[0])
+    new = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    cut = [0, *(np.flatnonzero(new) + 1).tolist(), n] if n else [0]
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
+def _sifter(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pivot", "ascending"), ("part", "ascending"), ("rid", "ascending")])
+        pivot, part, rid, known, side = (table[c].to_numpy() for c in ("pivot", "part", "rid", "known", "side"))
+        size = table["n_shingles"].to_numpy().astype(np.float64)
+        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(rid), -1)
+        out: list[np.ndarray] = []
+        for a, b in _cuts(pivot, part):
+            label = clusters(regs[a:b], size[a:b], known[a:b], side[a:b], num, den)
+            for one in np.unique(label[label >= 0]).tolist():
+                rows = np.flatnonzero(label == one) + a
+                subs = max(1, -(-(len(rows) - 1) // TEXTS))
+                for sub in range(subs):
+                    own = np.append(rows[0], rows[1 + sub * TEXTS : 1 + (sub + 1) * TEXTS])
+                    keys = [np.full(len(own), x, np.int64) for x in (pivot[a], part[a], rid[rows[0]], sub, subs)]
+                    out.append(np.stack([*keys, rid[own], known[own]]))
+        names = [c.split()[0] for c in CLUSTER.split(", ")]
+        found = np.concatenate(out, axis=1) if out else np.empty((len(names), 0), np.int64)
+        give_back()
+        return pa.table([pa.array(c) for c in found], names=names)
+
+    return run
+
+
+def _link_block(ids: list[int], sets: list[np.ndarray], known: list[int], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the links between members that are not connected yet."""
     regs = np.stack([registers(s) for s in sets])
     size = np.array([len(s) for s in sets], np.float64)
-    local, first, edges = UnionFind(n), {}, []
+    local, first, edges = UnionFind(len(ids)), {}, []
     for i, c in enumerate(known):
         if c >= 0:
             local.join(i, first.setdefault(c, i))
     side = np.array(sides)
     # Components of the rows before, kept current by relabelling.
-    comp = np.array([local.find(i) for i in range(n)])
-    for i in range(1, n):
+    comp = np.array([local.find(i) for i in range(len(ids))])
+    for i in range(1, len(ids)):
         wanted = (comp[:i] != comp[i]) & ((side[:i] == 2) | (side[:i] != side[i]))
         if not wanted.any():
             continue
-        equal = (regs[:i] == regs[i]).mean(1)
-        estimate = (equal - COLLISION) / (1 - COLLISION)
-        j_min = num / den
-        spread = np.sqrt(j_min * (1 - j_min) * (1 / np.minimum(REGISTERS, np.minimum(size[:i], size[i])) + 1 / REGISTERS))
-        near = np.flatnonzero(wanted & (estimate >= j_min - 6 * spread))
-        for j in near[np.argsort(-estimate[near], kind="stable")].tolist():
+        for j in np.flatnonzero(wanted & may_link(regs, size, i, num, den)).tolist():
             if comp[j] != comp[i] and similar(sets[i], sets[j], num, den):
                 edges.append((ids[i], ids[j]))
                 a, b = comp[i], comp[j]
@@ -149,63 +225,122 @@ def _link_block(ids: list[int], sets: list[np.ndarray], known: list[int], sides:
 
 def _verifier(width: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("pivot", "ascending"), ("part", "ascending"), ("rid", "ascending")])
-        pivot, part = table["pivot"].to_numpy(), table["part"].to_numpy()
+        keys = ("pivot", "part", "head", "sub")
+        table = table.sort_by([(c, "ascending") for c in (*keys, "rid")])
         rid, known, side = table["rid"].to_pylist(), table["known"].to_pylist(), table["side"].to_pylist()
-        cut = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1]))) if len(pivot) else np.empty(0, np.int64)
         text = table["text"].combine_chunks()
         edges: list[tuple[int, int]] = []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pivot)], strict=True):
+        for a, b in _cuts(*(table[c].to_numpy() for c in keys)):
             sets = [h for _, buf, off in chunks(text.slice(a, b - a)) for h in shingle_sets(buf, off, width)]
             edges += _link_block(rid[a:b], sets, known[a:b], side[a:b], num, den)
         x, y = zip(*edges, strict=True) if edges else ((), ())
+        give_back()
         return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _verify(members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Edges among members (pivot, part, rid, known, side); groups hold a few hundred texts."""
-    members = materialize(members, "members")
-    groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // 400))
-    full = members.join(texts, "rid").withColumn("grp", F.pmod(F.xxhash64("pivot", "part"), F.lit(groups)))
-    return full.groupBy("grp").applyInArrow(_verifier(width, num, den), "a long, b long")
+def _groups(df: DataFrame, rows: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """pivot, rid, part, parts: the members of each bucket (rid, band, key) with its smallest, in blocks."""
+    shared = materialize(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where("n > 1").drop("n"), "buckets")
+    stars = materialize(keyed.join(shared, ["band", "key"]).select("pivot", "rid").where("rid <> pivot").distinct(), "stars")
+    blocks = materialize(stars.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "pivots")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    salted = stars.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    counted = salted.join(blocks.where("parts > 1").withColumn("salt", salts), ["pivot", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = counted.select("pivot", "rid", "parts", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(0).cast("long").alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>"))
+    return materialize(dealt.unionByName(blocks.select("pivot", F.col("pivot").alias("rid"), "parts", every.alias("part"))), "blocks")
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        keys = np.zeros((batch.num_rows, WIDE), np.uint64)
+        for j in range(WIDE_ROWS):
+            keys = mix(keys + (regs[:, _DRAWS[:, j]].astype(np.uint64) + np.uint64(1)) * _TIMES[j])
+        rid = np.repeat(batch.column(0).to_numpy(), WIDE)
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.tile(np.arange(WIDE, dtype=np.int32), batch.num_rows)), pa.array(keys.reshape(-1).view(np.int64))], names=["rid", "band", "key"])
+
+
+class _Links:
+    """The links found so far and the classes they make."""
+
+    def __init__(self, reps: DataFrame, rows: DataFrame, width: int, num: int, den: int):
+        self.reps, self.law = reps, (width, num, den)
+        self.texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "rid")
+        self.edges: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    def known(self, members: DataFrame) -> DataFrame:
+        """Members with ``known``: the class of each, its own id without links."""
+        if self.found is None:
+            return members.withColumn("known", F.lit(-1).cast("long"))
+        return members.join(self.found.select(F.col("id").alias("rid"), F.col("component").alias("known")), "rid", "left").withColumn("known", F.coalesce("known", "rid"))
+
+    def compare(self, members: DataFrame) -> None:
+        """Registers first, then full sets, of members pivot, part, rid, known, side."""
+        members = materialize(members.select("pivot", "part", "rid", "known", "side"), "members")
+        grp = F.pmod(F.xxhash64("pivot", "part"), F.lit(_groups(members, 4 * BLOCK)))
+        full = members.join(self.reps.select("rid", "n_shingles", "regs"), "rid").withColumn("grp", grp)
+        likely = materialize(full.groupBy("grp").applyInArrow(_sifter(*self.law[1:]), CLUSTER), "likely")
+        self._verify(likely.withColumn("side", F.lit(2)))
+        # Clusters of several parts whose members are in several components: pairs of parts.
+        many = self.known(likely.where("subs > 1").drop("known"))
+        key = ["pivot", "part", "head"]
+        open_ = many.groupBy(key).agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select(key)
+        rest = materialize(many.join(open_, key, "left_semi"), "open-clusters")
+        if rest.limit(1).count():
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))
+            crossed = rest.withColumn("other", other).where("other <> sub").withColumn("side", F.when(F.col("sub") < F.col("other"), 0).otherwise(1))
+            self._verify(crossed.withColumn("sub", F.least("sub", "other") * F.lit(1 << 24) + F.greatest("sub", "other")).drop("other"))
+
+    def _verify(self, members: DataFrame) -> None:
+        ids = materialize(members.select("rid").distinct(), "survivors")
+        texts = semi_by_id(self.texts, ids, "rid")
+        grp = F.pmod(F.xxhash64("pivot", "part", "head", "sub"), F.lit(_groups(members, 2 * TEXTS)))
+        full = members.join(texts, "rid").withColumn("grp", grp)
+        new = materialize(full.groupBy("grp").applyInArrow(_verifier(*self.law), "a long, b long"), "links")
+        if new.limit(1).count() or self.found is None:
+            self.edges = new if self.edges is None else self.edges.unionByName(new)
+            self.found = materialize(components(self.edges), "components")
+
+    def open(self, blocks: DataFrame) -> DataFrame:
+        """The members of pivots with several blocks and several components."""
+        many = self.known(blocks.where("parts > 1"))
+        spans = many.groupBy("pivot").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.max("parts").alias("parts"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>"))
+        return materialize(many.join(spans.where("lo < hi").select("pivot", every.alias("part")), ["pivot", "part"], "left_semi"), "open")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = materialize(rows.mapInArrow(_sketcher(width), "doc_id long, n_shingles long, set_key binary, regs binary"), "sketches")
+    sketches = materialize(rows.mapInArrow(tidy(_sketcher(width)), "doc_id long, n_shingles long, set_key binary, regs binary"), "sketches")
     sets = sketches.where("set_key is not null and doc_id is not null")
-    reps = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.first("regs").alias("regs")), "sets")
+    reps = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles")), "sets")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("key"))))
-    banded = reps.select("rid", band.alias("x")).select("rid", "x.*")
-    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where("n > 1").drop("n")
-    stars = materialize(banded.join(shared, ["band", "key"]).select("pivot", "rid").where("rid <> pivot").distinct(), "stars")
-    blocks = stars.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
-    salted = stars.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
-    counted = salted.join(blocks.where("parts > 1").withColumn("salt", salts), ["pivot", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = materialize(counted.select("pivot", "rid", "parts", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(0).cast("long").alias("part")), "blocks")
-    pivots = blocks.select("pivot", F.col("pivot").alias("rid"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>")).alias("part"))
-    first = dealt.unionByName(pivots).select("pivot", "part", "rid", F.lit(-1).cast("long").alias("known"), F.lit(2).alias("side"))
-    wanted = reps.select("rid")
-    texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "rid").join(wanted, "rid", "left_semi")
-    edges = materialize(_verify(first, texts, width, num, den), "links")
-    found = materialize(components(edges), "components")
-    # Pivots of several blocks whose members are in several components: pairs of blocks.
-    many = dealt.where("parts > 1").unionByName(pivots.where("parts > 1 and part = 0")).join(found.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    spans = many.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parts").alias("parts"))
-    open_ = spans.where("lo < hi").select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>")).alias("part"))
-    rest = materialize(many.join(open_, ["pivot", "part"], "left_semi"), "open")
+    links = _Links(reps, rows, width, num, den)
+    side = F.lit(2).alias("side")
+    if sets.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        links.texts = links.texts.dropDuplicates()
+    blocks = _blocks(reps.select("rid", band.alias("x")).select("rid", "x.*"))
+    links.compare(links.known(blocks).withColumn("side", side))
+    rest = links.open(blocks)
     if rest.limit(1).count():
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>"))
-        crossed = rest.withColumn("other", other).where("other <> part").select(
-            "pivot", (F.least("part", "other") * F.lit(1 << 24) + F.greatest("part", "other")).alias("part"), "rid", F.col("component").alias("known"), F.when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side")
-        )
-        edges = edges.unionByName(materialize(_verify(crossed, texts, width, num, den), "links"))
-        found = materialize(components(edges), "components")
-    class_of = reps.select("set_key", "rid").join(found.withColumnRenamed("id", "rid"), "rid", "left").select("set_key", F.coalesce("component", "rid").alias("component_id"))
+        again = materialize(rest.select("rid").distinct(), "open-ids")
+        blocks = _blocks(reps.select("rid", "regs").join(again, "rid", "left_semi").mapInArrow(tidy(_wide_keys), "rid long, band int, key long"))
+        links.compare(links.known(blocks).withColumn("side", side))
+        rest = links.open(blocks)
+        if rest.limit(1).count():
+            other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>"))
+            crossed = rest.withColumn("other", other).where("other <> part").withColumn("side", F.when(F.col("part") < F.col("other"), 0).otherwise(1))
+            links.compare(crossed.withColumn("part", F.least("part", "other") * F.lit(1 << 24) + F.greatest("part", "other")))
+    class_of = reps.select("set_key", "rid").join(links.found.withColumnRenamed("id", "rid"), "rid", "left").select("set_key", F.coalesce("component", "rid").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(class_of, "set_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
