@@ -59,6 +59,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """A worker's function that gives memory back at the end of its task: workers are used again."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _fixed_threshold()
         try:
             yield from run(batches)
         finally:
@@ -67,6 +68,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def _fixed_threshold() -> None:
+    """Arrays of a MB and more go back to the system when they are dropped (glibc's M_MMAP_THRESHOLD)."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -6,7 +6,8 @@ and one closing sign that is followed by white space or the end. Each distinct u
 encoded by the tokenizers library once while the bounded memo holds it; ids of whole
 texts are gathered with numpy. A text outside the proven cases (runs of white space and
 white space beyond ASCII, where a byte-level pre-tokenizer looks ahead) goes to the
-library as it is, so that the ids always equal those of a direct call.
+library as it is, so that the ids always equal those of a direct call; so does a text
+that holds the string of an added token, which the library cuts out first.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 
 from .textvec import LOWER, WHITE, chunks, span_hashes
 
-MEMO_UNITS = 3_000_000
+MEMO_UNITS = 1_200_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
@@ -26,6 +27,77 @@ _SIGN[[ord(c) for c in ".,;:!?"]] = True
 _MARK = "␞"
 
 
+class _Memo:
+    """Ids by the hash of their unit: open addressing in flat arrays that only double.
+
+    When it is full, units that came in one chunk only are forgotten.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.n = self.used = 0
+        self.flat = np.empty(1 << 18, dtype)
+        self._room(16)
+
+    def _room(self, bits: int) -> None:
+        self.mask = (1 << bits) - 1
+        self.key = np.zeros(1 << bits, np.uint64)  # 0 is empty
+        self.at = np.zeros(1 << bits, np.int32)
+        self.length = np.zeros(1 << bits, np.int32)
+        self.chunks = np.zeros(1 << bits, np.uint8)
+
+    def forget(self) -> None:
+        """Keep the units that came most often, at most half of ``MEMO_UNITS``."""
+        often = 2
+        while (keep := self.chunks >= often).sum() > MEMO_UNITS // 2:
+            often += 1
+        hashes, at, length, chunks = self.key[keep], self.at[keep].astype(np.int64), self.length[keep], self.chunks[keep]
+        stop = np.cumsum(length, dtype=np.int64)
+        flat = self.flat[np.repeat(at - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
+        self.n, self.used = len(hashes), len(flat)
+        self.flat[: self.used] = flat
+        self._room(max(16, (2 * self.n).bit_length()))
+        self._put(hashes, (stop - length).astype(np.int32), length)
+        self.chunks[self.find(hashes)] = chunks // 2
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 for new ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        todo, place = np.arange(len(hashes)), (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(todo):
+            key = self.key[place]
+            hit = key == hashes[todo]
+            out[todo[hit]] = place[hit]
+            on = ~hit & (key != 0)
+            todo, place = todo[on], (place[on] + 1) & self.mask
+        return out
+
+    def _put(self, hashes: np.ndarray, at: np.ndarray, length: np.ndarray) -> None:
+        place = (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(hashes):
+            free = self.key[place] == 0
+            self.key[place[free]] = hashes[free]  # of several that meet in a slot the last one stays
+            done = self.key[place] == hashes
+            self.at[place[done]], self.length[place[done]] = at[done], length[done]
+            hashes, at, length, place = hashes[~done], at[~done], length[~done], (place[~done] + 1) & self.mask
+
+    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """New hashes, each once, with their ids."""
+        self.n += len(hashes)
+        if self.n > 0.6 * self.mask:
+            full = self.key != 0
+            old, chunks = (self.key[full], self.at[full], self.length[full]), self.chunks[full]
+            self._room(max(self.mask.bit_length() + 1, (2 * self.n).bit_length()))
+            self._put(*old)
+            self.chunks[self.find(old[0])] = chunks
+        length = np.array([len(x) for x in ids], np.int32)
+        end = self.used + int(length.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * end - self.used, self.flat.dtype)])
+        self.flat[self.used : end] = np.concatenate(ids)
+        self._put(hashes, (self.used + np.cumsum(length) - length).astype(np.int32), length)
+        self.used = end
+
+
 class Encoder:
     """``kind``: ``byte`` for byte-level BPE whose words carry their leading space,
     ``word`` for lower-casing BPE with word ends that drops white space."""
@@ -35,18 +107,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = kind
         self.joint = "\n" if kind == "byte" else f"\n{_MARK}\n"
         self.mark = self.direct(self.joint)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)
-        self.length = np.empty(0, np.int64)
-        self.flat = np.empty(0, self.dtype)
+        self.memo = _Memo(self.dtype)
 
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
@@ -72,18 +138,6 @@ class Encoder:
                 out[i] = x
         return out
 
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        if len(self.known) > MEMO_UNITS:
-            raise MemoryError
-        ids = self._encode_units(units)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        at = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, *ids])
-        where = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, where, hashes)
-        self.at = np.insert(self.at, where, at)
-        self.length = np.insert(self.length, where, lengths)
-
     def _cuts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(buf)
         cut = np.zeros(n + 1, bool)
@@ -99,44 +153,51 @@ class Encoder:
         cut[sign[letter & closed]] = True
         return np.flatnonzero(cut[:-1])
 
-    def _odd_texts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Rows with runs of white space or white space beyond ASCII."""
-        if self.kind == "word" or len(buf) < 2:
-            return np.empty(0, np.int64)
-        a, b = buf[:-1], buf[1:]
-        c = np.append(buf[2:], 0)
-        bad = WHITE[a] & WHITE[b]
-        bad |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
-        bad |= ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
-        bad |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
-        return np.unique(np.searchsorted(off, np.flatnonzero(bad), "right") - 1)
+    def _odd_texts(self, buf: np.ndarray, low: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows with an added token, runs of white space or white space beyond ASCII."""
+        places = [np.array(self._finds(low.tobytes(), t), np.int64) for t in self.added]
+        if self.kind == "byte" and len(buf) > 1:
+            a, b = buf[:-1], buf[1:]
+            c = np.append(buf[2:], 0)
+            bad = WHITE[a] & WHITE[b]
+            bad |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+            bad |= ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+            bad |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+            places.append(np.flatnonzero(bad))
+        return np.unique(np.searchsorted(off, np.concatenate(places), "right") - 1) if places else np.empty(0, np.int64)
+
+    @staticmethod
+    def _finds(raw: bytes, token: bytes) -> list[int]:
+        out, at = [], raw.find(token)
+        while at >= 0:
+            out.append(at)
+            at = raw.find(token, at + 1)
+        return out
 
     def encode_chunk(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         n = len(off) - 1
         if not len(buf):
             return [np.empty(0, self.dtype)] * n
-        odd = self._odd_texts(buf, off)
+        odd = self._odd_texts(buf, LOWER[buf], off)
         low = LOWER[buf] if self.kind == "word" else buf
         starts = self._cuts(low, off)
         ends = np.append(starts[1:], len(low))
         hashes, first, inverse = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
-        for _ in range(2):
-            place = np.searchsorted(self.known, hashes)
-            found = np.zeros(len(hashes), bool)
-            inside = place < len(self.known)
-            found[inside] = self.known[place[inside]] == hashes[inside]
-            if found.all():
-                break
-            new = np.flatnonzero(~found)
-            if len(self.known) + len(new) > MEMO_UNITS:
-                self._reset()
-                new = np.arange(len(hashes))
+        hashes[hashes == 0] = 1
+        place = self.memo.find(hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if self.memo.n + len(new) > MEMO_UNITS:
+                self.memo.forget()
+                new = np.flatnonzero(self.memo.find(hashes) < 0)
             raw = low.tobytes()
             s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._learn(hashes[new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(s, e, strict=True)])
-        length = self.length[place][inverse]
+            self.memo.add(hashes[new], self._encode_units([raw[x:y].decode("utf-8", "replace") for x, y in zip(s, e, strict=True)]))
+            place = self.memo.find(hashes)
+        self.memo.chunks[place] += self.memo.chunks[place] < 255
+        at, length = self.memo.at[place][inverse].astype(np.int64), self.memo.length[place][inverse].astype(np.int64)
         stop = np.cumsum(length)
-        flat = self.flat[np.repeat(self.at[place][inverse] - (stop - length), length) + np.arange(stop[-1])]
+        flat = self.memo.flat[np.repeat(at - (stop - length), length) + np.arange(stop[-1])]
         bounds = np.append(0, stop)[np.searchsorted(starts, off)]
         out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i in odd.tolist():

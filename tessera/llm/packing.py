@@ -4,27 +4,35 @@ Documents are encoded, an end id is appended, and ids beyond the sequence length
 into full pieces and a rest. Pieces are dealt by a hash into groups of about
 ``GROUP_BYTES`` of text; in each group the rests, longest first, go to the first open
 sequence with room, found in a tournament tree whose nodes hold the largest room below
-them. Groups are independent, so one lost task repacks only its own; a hot source or
-copies never meet in one group, as the hash also takes the piece and the row's place.
+them. Groups are independent, so one lost task repacks only its own. Their number
+follows from the bytes of the texts alone, and so does the padding.
+
+The hash takes the id, the piece, its content and its rank among the equal pieces of a
+task, so a hot source or a group of copies spreads over all groups, and a task that
+runs again deals alike in whatever order its rows come.
 
 A null text counts as empty (the end id alone); null ids, repeated rows and ties are
-kept as rows of their own (equal lengths keep hash order); an empty table packs to
-nothing; other columns are ignored.
+kept as rows of their own (pieces of equal length stand in the order of id, start and
+content); an empty table packs to nothing; a very long text is cut into pieces that
+leave the task in small batches; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import slices, tidy, utf8_size
 from .encoders import encoder
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 6 << 20
+BATCH_IDS = 500_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, deal long"
 PACKED = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
@@ -69,13 +77,17 @@ def _cutter(path: str, kind: str, end_id: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, kind)
         end = np.array([end_id], enc.dtype)
-        row = 0
-        for batch in batches:
+        # How often a piece has come before: counted by a hash of 64 bits, so that equal pieces differ.
+        before: Counter[int] = Counter()
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             doc, start, length, total, raw, deal = [], [], [], [], [], []
             size = 0
             for key, ids in zip(batch.column(0).to_pylist(), enc.texts(batch.column(1)), strict=True):
                 ids = np.concatenate([ids, end])
-                row += 1
+                whole = ids.tobytes()
+                mark = hash((key, crc32(whole), len(whole)))
+                nth = before[mark]
+                before[mark] += 1
                 for a in range(0, len(ids), room):
                     piece = ids[a : a + room]
                     doc.append(key)
@@ -83,15 +95,15 @@ def _cutter(path: str, kind: str, end_id: int, room: int):
                     length.append(len(piece))
                     total.append(len(ids))
                     raw.append(piece.tobytes())
-                    deal.append(row * 1_000_003 + a)
+                    deal.append(nth)
                     size += len(piece)
-                    if size > 4_000_000:
+                    if size > BATCH_IDS:
                         yield _pieces(doc, start, length, total, raw, deal)
                         doc, start, length, total, raw, deal = [], [], [], [], [], []
                         size = 0
             yield _pieces(doc, start, length, total, raw, deal)
 
-    return run
+    return tidy(run)
 
 
 def _pieces(doc, start, length, total, raw, deal) -> pa.RecordBatch:
@@ -100,12 +112,14 @@ def _pieces(doc, start, length, total, raw, deal) -> pa.RecordBatch:
 
 def _packer(room: int, wide: bool):
     def run(table: pa.Table) -> pa.Table:
-        lengths = table["length"].to_numpy()
-        bins, offsets = first_fit_decreasing(lengths, room)
+        # Whatever order the rows come in, equal lengths are placed alike.
+        table = table.append_column("crc", pa.array([crc32(x.as_buffer()) for x in table["ids"].combine_chunks()], pa.int64()))
+        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("crc", "ascending")])
+        bins, offsets = first_fit_decreasing(table["length"].to_numpy(), room)
         group = table["grp"][0].as_py()
-        ids = table["ids"]
+        ids = table["ids"].combine_chunks()
         if not wide:
-            ids = pa.array([np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids.to_pylist()], pa.binary())
+            ids = pa.array((np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes() for x in ids), pa.binary())
         return pa.table([table["doc_id"], table["start"], table["length"], table["doc_tokens"], ids, pa.array((group << 32) + bins), pa.array(offsets)], names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
 
     return run
@@ -118,8 +132,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, r
     wide = Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.mapInArrow(_cutter(tokenizer, kind, end_id, room), PIECES)
-    groups = partitions_for(rows, GROUP_BYTES)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "deal", F.crc32("ids")), F.lit(groups))).drop("deal")
+    size = rows.agg(F.sum(utf8_size(F.col("text")) + 1).alias("b")).first()["b"] or 0
+    groups = max(1, round(size / GROUP_BYTES))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "deal", F.crc32("ids")), F.lit(groups))).drop("deal")
     return dealt.groupBy("grp").applyInArrow(_packer(room, wide), PACKED)
 
 

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+#: Arrays of 8 bytes a byte of text are made for so many bytes at a time, or for one longer text.
+CHUNK_BYTES = 512 << 10
+_STEP = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -29,15 +31,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-class _Tables:
-    size = 0
+_TABLES: list[np.ndarray] = []
 
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > cls.size:
-            cls.size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-            cls.power, cls.inverse = _powers(_BASE, cls.size), _powers(_INVERSE, cls.size)
-        return cls.power, cls.inverse
+
+def _tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse below ``_STEP``, made once a worker."""
+    if not _TABLES:
+        _TABLES.extend((_powers(_BASE, _STEP), _powers(_INVERSE, _STEP)))
+    return _TABLES
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,12 +52,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum over the buffer."""
-    power, inverse = _Tables.get(len(buf) + 1)
+    """A 64-bit hash of each byte span, from one prefix sum over the buffer.
+
+    The power of a place is that of its step times that within the step, so the tables
+    stay small however long a text is.
+    """
+    power, inverse = _tables()
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for k, lo in enumerate(range(0, len(buf), _STEP)):
+        part = _BYTE[buf[lo : lo + _STEP]]
+        part *= power[: len(part)]
+        if k:
+            part *= np.uint64(pow(_BASE, lo, 1 << 64))
+        np.cumsum(part, out=total[lo + 1 : lo + 1 + len(part)])
+        if k:
+            total[lo + 1 : lo + 1 + len(part)] += total[lo]
+    if len(buf) <= _STEP:
+        back = inverse[np.minimum(starts, _STEP - 1)]
+    else:
+        steps = np.array([pow(_INVERSE, lo, 1 << 64) for lo in range(0, len(buf) + 1, _STEP)], np.uint64)
+        back = inverse[starts % _STEP] * steps[starts // _STEP]
+    return mix((total[ends] - total[starts]) * back + (ends - starts).astype(np.uint64))
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
