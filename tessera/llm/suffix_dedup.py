@@ -9,9 +9,12 @@ once are dropped by a count. For the others the suffix from the anchor (padded t
 
 1. Tasks sort their strings into runs, fold equal ones (those windows are decided) and
    write the runs front-coded: the length shared with the string before, and the rest.
-2. Sampled splitters cut the runs into ranges of bounded size, which are exchanged. A
-   loser tree merges the runs of a range; each contender carries its common prefix with
-   the last winner, so characters known to be equal are never compared again.
+2. Sampled splitters cut the runs into ranges of bounded size, which are exchanged. They
+   fall between grams; only a gram that fills ranges alone is split inside. Beyond
+   ``COARSE`` ranges each coarse range draws splitters of its own, so the number of
+   ranges follows the input. A loser tree merges the runs of a range; each contender
+   carries its common prefix with the last winner, so characters known to be equal are
+   never compared again.
 3. Neighbours in that order give each anchor its longest match to the right, and
    matches in both directions against the neighbours.
 4. The distinct strings are merged once more with the left side first, which gives the
@@ -20,8 +23,10 @@ once are dropped by a count. For the others the suffix from the anchor (padded t
 
 Equal texts are removed whole (if as long as ``LENGTH``) by their key. Null text is
 empty; null ids and repeated rows are kept as rows; texts shorter than ``LENGTH`` stay
-whole; an empty table gives an empty one; other columns are kept by ``cut_repeats``.
-Columns named like an added one are replaced.
+whole; a very long text is read in pieces of bounded size; ties (equal strings) are one
+entry of a run; an empty table gives an empty one; other columns are kept by
+``cut_repeats``, whatever their names, but for those named like an added one, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -36,16 +41,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, remove, table_path
+from .common import give_back, materialize, remove, slices, table_path, tidy
 from .windows import GRAM, window_anchors
 
 LENGTH = 200
 LEFT = LENGTH - GRAM
 WIDTH = LENGTH + LEFT
-RUN = 60_000
+RUN = 24_000
 BLOCK = 500
 RANGE = 12_000
 SAMPLE = 20_000
+#: Ranges of one level of splitters.
+COARSE = 2_000
+SEEN = 50_000
 _PAD = b"\xff"
 OWNER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("a", "<i4"), ("ll", "u1"), ("rl", "u1"), ("multi", "u1"), ("er", "u1"), ("lo1", "u1"), ("hi1", "u1"), ("lo2", "u1"), ("hi2", "u1")])
 RUNS = "kind int, run long, seq int, first binary, rest binary, lcp binary, owners binary, k1 long, k2 long, s int, e int"
@@ -203,7 +211,7 @@ def _run_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _spans(decided)
         yield from _blocks(number, strings, np.array(owners, OWNER))
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         k1s, k2s, wanted = (batch.column(i).to_pylist() for i in (0, 1, 3))
         for k1, k2, grams, text in zip(k1s, k2s, wanted, batch.column(2), strict=True):
             text = text.as_py().encode()
@@ -256,6 +264,7 @@ def _limits(n: int, x: bytes, y: bytes, ox: tuple, oy: tuple) -> tuple[int, int]
 
 def _right_merger(key: tuple, table: pa.Table) -> pa.Table:
     """First merge: decide what neighbours decide, and write the strings left side first."""
+    below, above = _edges(table)
     items = list(_merge_group(table))
     decided, out = [], []
     for i, (n, s, group) in enumerate(items):
@@ -263,7 +272,7 @@ def _right_merger(key: tuple, table: pa.Table) -> pa.Table:
         multi = len(group) > 1 or bool(own[5])
         if len(group) > 1:
             decided += [(o[0], o[1], o[2] - o[3], o[2] + o[4]) for o in group if not o[5]]
-        most, fits = (own[4] if i in (0, len(items) - 1) else 0), [(1, 0), (1, 0)]
+        most, fits = (own[4] if below and i == 0 or above and i == len(items) - 1 else 0), [(1, 0), (1, 0)]
         for side, j in enumerate((i - 1, i + 1)):
             if 0 <= j < len(items):
                 left, right = _limits(n if j < i else items[j][0], s, items[j][1], own, items[j][2][0])
@@ -276,6 +285,7 @@ def _right_merger(key: tuple, table: pa.Table) -> pa.Table:
     out.sort(key=lambda x: x[0])
     run = key[0].as_py() if hasattr(key[0], "as_py") else int(key[0])
     batches = [*_spans(decided), *_blocks(run, [x for x, _ in out], np.array([o for _, o in out], OWNER))]
+    give_back()
     return pa.Table.from_batches(batches, _RUN_SCHEMA)
 
 
@@ -285,11 +295,12 @@ def _mask(lo: int, hi: int) -> int:
 
 def _left_merger(key: tuple, table: pa.Table) -> pa.Table:
     """Second merge: spans decided by neighbours (kind 1) and open windows (kind 2, hash in first)."""
+    below, above = _edges(table)
     items = list(_merge_group(table))
     decided, masks, opens = [], [], []
     for i, (n, s, group) in enumerate(items):
         own = group[0]
-        most, done = (own[3] if i in (0, len(items) - 1) else 0), _mask(own[7], own[8]) | _mask(own[9], own[10])
+        most, done = (own[3] if below and i == 0 or above and i == len(items) - 1 else 0), _mask(own[7], own[8]) | _mask(own[9], own[10])
         for j in (i - 1, i + 1):
             if 0 <= j < len(items):
                 other, m = items[j], n if j < i else items[j][0]
@@ -310,7 +321,7 @@ def _left_merger(key: tuple, table: pa.Table) -> pa.Table:
         j = i + 1
         while j < len(items) and items[j][0] >= GRAM:
             j += 1
-        edge = i == 0 or j == len(items)  # the gram may go on in the next range
+        edge = below and i == 0 or above and j == len(items)  # the gram goes on in the next range
         wanted = -1 if edge else 0
         for m in opens[i:j] if not edge else ():
             wanted |= m
@@ -335,25 +346,52 @@ def _left_merger(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(batches, _RUN_SCHEMA)
 
 
-def _cutter(bounds: list[bytes]):
-    """Deal the blocks of the runs into the ranges between the bounds."""
+_CUT = pa.schema([("range", pa.int64()), ("edge", pa.int32()), ("run", pa.int64()), ("seq", pa.int32()), ("n", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("rest", pa.binary()), ("lcp", pa.binary()), ("owners", pa.binary())])
+CUT = "range long, edge int, run long, seq int, n int, first binary, last binary, rest binary, lcp binary, owners binary"
+
+
+def _edges(table: pa.Table) -> tuple[bool, bool]:
+    """Whether the first and the last gram of a range go on in its neighbours."""
+    edge = table["edge"][0].as_py()
+    return bool(edge & 1), bool(edge & 2)
+
+
+def _edge(lower: bytes | None, upper: bytes | None) -> int:
+    """A splitter of a whole string lies inside a gram; one of a gram's length does not."""
+    return (lower is not None and len(lower) > GRAM) | (upper is not None and len(upper) > GRAM) << 1
+
+
+def _cutter(bounds: list[bytes] | None = None):
+    """Deal the blocks of the runs into the ranges between the bounds.
+
+    Without ``bounds`` each row brings those inside it (``inner``), the one before and after
+    them (``lower``, ``upper``), and the number of its first range (``range``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                r = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+                inner, base = (bounds, 0) if bounds is not None else (r["inner"], r["range"])
+                lower, upper = (None, None) if bounds is not None else (r["lower"], r["upper"])
                 own = np.frombuffer(r["owners"], OWNER)
                 strings = [s for _, s in decode(r["rest"], r["lcp"])]
                 lo = 0
                 while lo < len(strings):
-                    place = bisect_right(bounds, strings[lo])
-                    hi = len(strings) if place == len(bounds) else lo + bisect_right(_Less(strings, lo, bounds[place]), False)
+                    place = bisect_right(inner, strings[lo])
+                    hi = len(strings) if place == len(inner) else lo + bisect_right(_Less(strings, lo, inner[place]), False)
                     rest, lcp = front_code(strings[lo:hi])
-                    rows.append({"range": place, "run": r["run"], "seq": r["seq"] + lo, "rest": rest, "lcp": lcp, "owners": own[lo:hi].tobytes()})
-                    lo = hi
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("run", pa.int64()), ("seq", pa.int32()), ("rest", pa.binary()), ("lcp", pa.binary()), ("owners", pa.binary())]))
+                    edge = _edge(inner[place - 1] if place else lower, inner[place] if place < len(inner) else upper)
+                    rows.append({"range": base + place, "edge": edge, "run": r["run"], "seq": r["seq"] + lo, "n": hi - lo, "first": strings[lo], "last": strings[hi - 1], "rest": rest, "lcp": lcp, "owners": own[lo:hi].tobytes()})
+                    lo, held = hi, held + len(rest)
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_CUT)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_CUT)
 
-    return run
+    return tidy(run)
 
 
 class _Less:
@@ -369,16 +407,55 @@ class _Less:
         return self.strings[self.lo + i] >= self.bound
 
 
+def split_points(keys: list[bytes], ranges: int) -> list[bytes]:
+    """At most ``ranges - 1`` splitters from sorted sample keys: grams, or whole strings inside a gram that comes again."""
+    out: list[bytes] = []
+    for i in range(1, ranges):
+        key = keys[len(keys) * i // ranges]
+        new = key if out and out[-1][:GRAM] == key[:GRAM] else key[:GRAM]
+        if not out or new > out[-1]:
+            out.append(new)
+    return out
+
+
+def _fine_ranges(coarse: DataFrame) -> DataFrame:
+    """Rows cut again at splitters that each coarse range draws from its own blocks."""
+    share = F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("blocks"))
+    # At most COARSE rows: a bounded broadcast.
+    sizes = coarse.groupBy("range").agg(F.sum("n").alias("strings"), F.count(F.lit(1)).alias("blocks")).select("range", F.ceil(F.col("strings") / RANGE).cast("int").alias("parts"), share.alias("share"))
+    draw = F.pmod(F.xxhash64("first", "run", "seq"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    keys = coarse.join(F.broadcast(sizes), "range").where(draw).groupBy("range").agg(F.sort_array(F.collect_list("first")).alias("keys"), F.first("parts").alias("parts"))
+
+    @F.udf("array<binary>")
+    def points(keys: list, parts: int) -> list:
+        return split_points([bytes(k) for k in keys], min(parts, COARSE)) if keys else []
+
+    bounds = materialize(keys.select("range", points("keys", "parts").alias("bounds")), "splitters")
+    met = coarse.join(bounds, "range", "left").withColumn("bounds", F.coalesce("bounds", F.array().cast("array<binary>")))
+    under = lambda c: F.size(F.filter("bounds", lambda b: b <= F.col(c)))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    met = met.withColumns({"_lo": under("first"), "_hi": under("last")})
+    outer = lambda i, bit: F.coalesce(F.get("bounds", i), F.when(F.col("edge").bitwiseAND(F.lit(bit)) > 0, F.col("first")))
+    return met.select(
+        (F.col("range") * COARSE + lo).alias("range"), F.when(hi > lo, F.slice("bounds", lo + 1, hi - lo)).otherwise(F.array().cast("array<binary>")).alias("inner"),
+        F.when(lo > 0, F.get("bounds", lo - 1)).otherwise(F.when(F.col("edge").bitwiseAND(F.lit(1)) > 0, F.col("first"))).alias("lower"), outer(hi, 2).alias("upper"), "run", "seq", "rest", "lcp", "owners",
+    )
+
+
 def _merge_sort(runs: DataFrame, merger, path: str) -> DataFrame:
     """Exchange the front-coded runs by sampled splitters and merge each range."""
     blocks = runs.where("kind = 0")
     n = blocks.count()
     draw = F.pmod(F.xxhash64("first", "run"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / max(n, 1))))
+    # A sample of about SAMPLE keys of bounded length.
     keys = sorted(bytes(r["first"]) for r in blocks.where(draw).select("first").collect())
     ranges = max(1, -(-n * BLOCK // RANGE))
-    bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-    dealt = blocks.select("run", "seq", "rest", "lcp", "owners").mapInArrow(_cutter(bounds), "range int, run long, seq int, rest binary, lcp binary, owners binary")
-    return materialize(dealt.groupBy("range").applyInArrow(merger, RUNS), "merged", path)
+    bounds = split_points(keys, min(ranges, COARSE)) if keys else []
+    dealt = blocks.select("run", "seq", "rest", "lcp", "owners").mapInArrow(_cutter(bounds), CUT)
+    if ranges > COARSE:
+        coarse = materialize(dealt, "coarse-ranges")
+        dealt = _fine_ranges(coarse).mapInArrow(_cutter(), CUT)
+    return materialize(dealt.select("range", "edge", "run", "seq", "rest", "lcp", "owners").groupBy("range").applyInArrow(merger, RUNS), "merged", path)
 
 
 # --- the operator ------------------------------------------------------------------------
@@ -386,12 +463,12 @@ def _merge_sort(runs: DataFrame, merger, path: str) -> DataFrame:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         out, keys = [], ([], [])
         for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if (k1, k2) in seen:  # a copy within the task adds nothing
                 continue
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             seen.add((k1, k2))
             at, _, _, grams = window_anchors(np.frombuffer(text.as_py().encode(), np.uint8), LENGTH)
@@ -410,13 +487,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     keyed = docs.select(*text_key(), text, F.col("doc_id").cast("long").alias("doc_id"))
     slim = materialize(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")), "texts")
-    anchors = materialize(keyed.select("k1", "k2", "text").mapInArrow(_anchor_rows, "gram long, k1 long, k2 long, a int"), "anchors")
+    anchors = materialize(keyed.select("k1", "k2", "text").mapInArrow(tidy(_anchor_rows), "gram long, k1 long, k2 long, a int"), "anchors")
     common = materialize(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     wanted = anchors.join(common, "gram").groupBy("k1", "k2").agg(F.collect_set("a").alias("at"))
     lists = wanted.join(slim.select("k1", "k2", "rep"), ["k1", "k2"])
     texts = keyed.join(lists, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k1", "k2", "text", "at")
     paths = [table_path(spark, "suffix-runs") for _ in range(3)]
-    runs = materialize(texts.mapInArrow(_run_maker, RUNS), "runs", paths[0])
+    runs = materialize(texts.mapInArrow(tidy(_run_maker), RUNS), "runs", paths[0])
     right = _merge_sort(runs, _right_merger, paths[1])
     spans = [materialize(runs.where("kind = 1").select("k1", "k2", "s", "e"), "spans")]
     remove(spark, paths[0])
@@ -466,17 +543,18 @@ def cut_repeats(docs: DataFrame, characters: bool = True) -> DataFrame:
     With ``characters`` spans are shrunk to whole characters; otherwise the counts and the
     digest hold for bytes, and the text has replacement signs where a character is cut.
     """
-    docs = docs.drop(*ADDED, "k1", "k2", "copies", "spans")
-    repeats = repeated_spans(docs)
-    joined = docs.select("*", *text_key()).join(repeats, ["k1", "k2"], "left")
-    plain = joined.select(*docs.columns, "copies", "spans")
-    place, width = docs.columns.index("text"), len(docs.columns)
+    docs = docs.drop(*ADDED)
+    names, place, width = docs.columns, docs.columns.index("text"), len(docs.columns)
+    safe = docs.toDF(*[c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(names)])
+    joined = safe.select("*", *text_key()).join(repeated_spans(safe), ["k1", "k2"], "left")
+    plain = joined.select(*safe.columns, "copies", "spans")
     schema = T.StructType([*[f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema.fields], *[T.StructField(c, T.LongType()) for c in ADDED[:3]], T.StructField(ADDED[3], T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole.set_column(place, whole.schema.names[place], whole.column(place).cast(pa.string())), place)):
             kept, size, gone, count, digest = [], [], [], [], []
-            for text, copies, spans in zip(batch.column(place).to_pylist(), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
+            for text, copies, spans in zip(batch.column(place), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
+                text = text.as_py()
                 raw = (text or "").encode()
                 cuts = covered(len(raw), copies or 1, spans)
                 if characters:
@@ -494,7 +572,7 @@ def cut_repeats(docs: DataFrame, characters: bool = True) -> DataFrame:
             columns = [pa.array(kept, pa.string()) if i == place else c for i, c in enumerate(batch.columns[:width])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=[f.name for f in schema.fields])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidy(run), schema)
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def gram_hashes(buf: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return mix(h)
 
 
-PIECE = 32 << 20
+PIECE = 1 << 20
 _LOW = (1 << 26) - 1
 
 
