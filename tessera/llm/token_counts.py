@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, tidy
+
 MARK = "▁"
 MEMO_WORDS = 400_000
 
@@ -101,7 +103,7 @@ def _counter(path: str):
         if path not in _CACHE:
             _CACHE[path] = _Counts(LongestMatch(piece_vocabulary(path)))
         of = _CACHE[path].__getitem__
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n_words, n_tokens = [], []
             for text in batch.column(1):
                 words = (text.as_py() or "").split()
@@ -109,7 +111,7 @@ def _counter(path: str):
                 n_tokens.append(sum(map(of, words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return run
+    return tidy(run)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, table_path
+from .common import materialize, partitions_for, slices, table_path, tidy
 from .encoders import encoder
 
 VERSION = 1
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 1_000_000
 FILE_SCHEMA = "version int, shard int, segment int, n_docs int, n_ids long, doc_ids binary, doc_nulls binary, lengths binary, ranked binary, control binary, data binary"
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -89,7 +89,7 @@ def _writer(path: str, kind: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], names=names)
 
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             keys = batch.column(0).to_pylist()
             for key, ids in zip(keys, enc.texts(batch.column(1)), strict=True):
                 doc_ids.append(key or 0)
@@ -102,7 +102,7 @@ def _writer(path: str, kind: str, end_id: int):
         if parts:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, path: str | None = None) -> DataFrame:
@@ -142,7 +142,7 @@ def read_token_files(files: DataFrame, content: Column | None = None) -> DataFra
     """
     content = F.col("ids") if content is None else content
     wanted = files.select("version", "shard", "segment", "n_ids", "doc_ids", "doc_nulls", "lengths", "ranked", "control", "data")
-    docs = wanted.mapInArrow(_reader, "doc_id long, shard int, segment int, local long, n_tokens long, ids binary")
+    docs = wanted.mapInArrow(tidy(_reader), "doc_id long, shard int, segment int, local long, n_tokens long, ids binary")
     docs = docs.select("doc_id", "shard", "segment", "local", "n_tokens", content)
     kept = docs.columns[-1]
     sizes = files.select("shard", "segment", "n_ids")

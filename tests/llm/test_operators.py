@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import embed_dedup, minhash, mixing, packing, queries, sharding, suffix_dedup, token_counts, token_files, topk_search, toxicity
+from tessera.llm import embed_dedup, minhash, mixing, packing, queries, sharding, suffix_dedup, token_counts, token_files, topk_search, toxicity, windows
 from tessera.llm.components import components
 from tessera.llm.encoders import encoder, public_path
 
@@ -94,22 +94,53 @@ def test_minhash_large_group(spark, monkeypatch):
     assert [got[i] for i in range(60)] == want
 
 
-def test_suffix_dedup(docs, texts, empty):
-    raw = [(t or "").encode() for t in texts] + [b"no id here"]
+def suffix_want(raw):
     count = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
-    got = {r.doc_id: r for r in suffix_dedup.suffix_digest(docs).collect()}
-    for i, b in enumerate(raw[:-1]):
+    out = []
+    for b in raw:
         cut = bytearray(len(b))
         for j in range(len(b) - 199):
             if count[b[j : j + 200]] > 1:
                 cut[j : j + 200] = b"\1" * 200
         kept = bytes(c for c, x in zip(b, cut) if not x)
         spans = sum(x and not (j and cut[j - 1]) for j, x in enumerate(cut))
-        r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(cut), spans, hashlib.sha256(kept).hexdigest())
+        out.append((len(b), sum(cut), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(docs, texts, empty):
+    raw = [(t or "").encode() for t in texts] + [b"no id here"]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_digest(docs).collect()}
+    for i, want in enumerate(suffix_want(raw)[:-1]):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
     assert suffix_dedup.suffix_digest(empty).count() == 0
-    cut = suffix_dedup.cut_repeats(docs)
-    assert set(docs.columns) - {"k1"} <= set(cut.columns)
+    clash = docs.withColumnsRenamed({"k1": "copies", "rid": "spans", "shard": "k2", "score": "n_spans"})
+    cut = suffix_dedup.cut_repeats(clash)
+    assert set(cut.columns) == set(clash.columns) | set(suffix_dedup.ADDED)
+    assert {(r.copies, r.spans, r.k2) for r in cut.collect()} == {(1, "r", "h"), (None, None, None)}
+
+
+def test_suffix_dedup_many_ranges(spark, monkeypatch):
+    """Two levels of splitters, ranges inside one frequent gram, and texts of several pieces."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(1, 7)))
+    line = " ".join(word() for _ in range(12))
+    shared = [" ".join(word() for _ in range(80)) for _ in range(6)]
+    texts = []
+    for i in range(150):
+        parts = [word() for _ in range(rng.randint(5, 120))]
+        for _ in range(rng.randint(0, 3)):
+            parts.insert(rng.randrange(len(parts)), line)
+        if i % 3 == 0:
+            parts.insert(rng.randrange(len(parts)), rng.choice(shared)[rng.randint(0, 60) :])
+        texts.append(" ".join(parts))
+    texts += ["a" * 3000, "b" + "a" * 900, line * 9]
+    for module, name, value in ((suffix_dedup, "RUN", 60), (suffix_dedup, "BLOCK", 6), (suffix_dedup, "RANGE", 10), (suffix_dedup, "COARSE", 4), (windows, "PIECE", 700)):
+        monkeypatch.setattr(module, name, value)
+    want = suffix_want([t.encode() for t in texts])
+    got = {r.doc_id: r for r in suffix_dedup.suffix_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == want
+    assert sum(w[1] for w in want) > 5000
 
 
 def test_merge_of_runs():
