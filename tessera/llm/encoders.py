@@ -20,6 +20,7 @@ import pyarrow as pa
 from .textvec import LOWER, WHITE, chunks, span_hashes
 
 MEMO_UNITS = 1_200_000
+KEPT_UNITS = 200_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
@@ -45,16 +46,18 @@ class _Memo:
         self.length = np.zeros(1 << bits, np.int32)
         self.chunks = np.zeros(1 << bits, np.uint8)
 
-    def forget(self) -> None:
-        """Keep the units that came most often, at most half of ``MEMO_UNITS``."""
+    def forget(self, limit: int) -> None:
+        """Keep at most ``limit`` units, those that came most often."""
         often = 2
-        while (keep := self.chunks >= often).sum() > MEMO_UNITS // 2:
+        while (keep := self.chunks >= often).sum() > limit and often < 255:
             often += 1
+        if often == 255:
+            keep[:] = False
         hashes, at, length, chunks = self.key[keep], self.at[keep].astype(np.int64), self.length[keep], self.chunks[keep]
         stop = np.cumsum(length, dtype=np.int64)
         flat = self.flat[np.repeat(at - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
         self.n, self.used = len(hashes), len(flat)
-        self.flat[: self.used] = flat
+        self.flat = np.append(flat, np.empty(1 << 18, flat.dtype))
         self._room(max(16, (2 * self.n).bit_length()))
         self._put(hashes, (stop - length).astype(np.int32), length)
         self.chunks[self.find(hashes)] = chunks // 2
@@ -188,7 +191,7 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             if self.memo.n + len(new) > MEMO_UNITS:
-                self.memo.forget()
+                self.memo.forget(MEMO_UNITS // 2)
                 new = np.flatnonzero(self.memo.find(hashes) < 0)
             raw = low.tobytes()
             s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
@@ -204,6 +207,11 @@ class Encoder:
             out[i] = self.direct(buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
         return out
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the common units only."""
+        if self.memo.n > KEPT_UNITS:
+            self.memo.forget(KEPT_UNITS)
+
     def texts(self, column: pa.Array):
         """The ids of each text of an Arrow column, in order; null counts as empty."""
         for _, buf, off in chunks(column):

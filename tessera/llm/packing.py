@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy, utf8_size
+from .common import give_back, slices, tidy, utf8_size
 from .encoders import encoder
 
 GROUP_BYTES = 6 << 20
@@ -102,6 +102,7 @@ def _cutter(path: str, kind: str, end_id: int, room: int):
                         doc, start, length, total, raw, deal = [], [], [], [], [], []
                         size = 0
             yield _pieces(doc, start, length, total, raw, deal)
+        enc.rest()
 
     return tidy(run)
 
@@ -120,6 +121,7 @@ def _packer(room: int, wide: bool):
         ids = table["ids"].combine_chunks()
         if not wide:
             ids = pa.array((np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes() for x in ids), pa.binary())
+        give_back()
         return pa.table([table["doc_id"], table["start"], table["length"], table["doc_tokens"], ids, pa.array((group << 32) + bins), pa.array(offsets)], names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
 
     return run

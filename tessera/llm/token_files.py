@@ -101,6 +101,7 @@ def _writer(path: str, kind: str, end_id: int):
                     doc_ids, nulls, parts, held, segment = [], [], [], 0, segment + 1
         if parts:
             yield flush()
+        enc.rest()
 
     return tidy(run)
 

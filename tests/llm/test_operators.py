@@ -284,6 +284,41 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.toxicity_digest(docs, labels.limit(0)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("law", ["either", "both"])
+def test_toxicity_of_pairs(spark, law):
+    """Terms that decide the label only together: no weight alone tells anything (either) or enough (both)."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        body = ["w%d" % min(rng.randrange(300), rng.randrange(300)) for _ in range(50)]
+        if insult:
+            body[rng.randrange(25)] = "scum"
+        if group:
+            body[25 + rng.randrange(25)] = "northerners"
+        rows.append((i, " ".join(body), int(insult != group if law == "either" else insult and group)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+
+    def right(m):
+        buf = np.frombuffer("".join(t for _, t, _ in held).encode(), np.uint8)
+        off = np.cumsum([0, *(len(t) for _, t, _ in held)])
+        return np.mean((m.score(buf, off) >= 0.5) == np.array([y for *_, y in held], bool))
+
+    plain = toxicity.Machine(machine.bias, machine.weights, np.zeros_like(machine.factors))
+    assert right(machine) >= 0.98
+    assert right(machine) >= right(plain) + 0.1
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "scum %d" % i if i % 2 else "fine %d" % i) for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    few = toxicity.train(docs, labels, sample_bytes=4000)
+    assert few.weights is not None and toxicity.train(docs, labels, sample_rows=0).bias == 0.0
+
+
 def vectors(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(30, 16))
