@@ -8,9 +8,10 @@ numbers of equal mean, so that the table of cumulated probabilities stays short.
 
 The random number is taken from md5, so any engine can repeat it. Rows with equal ids
 draw equally and are all kept; a null id or source draws like the empty string; a null
-source is a source of its own; an empty table gives an empty one. Other columns are
-kept; ``copy_no``, ``copies``, ``rate`` and ``shuffle_key`` are added by the operator
-(a column of that name in the input is replaced).
+source is a source of its own; ties in the order (equal ids) stay in any order; a very long
+text is carried as it is; an empty table gives an empty one. Other columns are
+kept, whatever their names; ``copy_no``, ``copies``, ``rate`` and ``shuffle_key`` are added
+by the operator (a column of that name in the input is replaced).
 """
 
 from __future__ import annotations
@@ -70,16 +71,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """Every document as often as drawn, in globally shuffled order."""
     docs = docs.drop(*ADDED)
     names = docs.columns
-    rates = source_rates(docs, weights, temperature, size).select(F.col("source").alias("_source"), "rate", "draws", "cdf")
-    rates = materialize(rates, "source-rates")
+    safe = [f"_c{i}" for i in range(len(names))]
+    source, by = (F.col(safe[names.index(c)]) for c in ("source", key))
+    rates = materialize(source_rates(docs, weights, temperature, size), "source-rates").withColumnRenamed("source", "_source")
+    # A hot source beyond the broadcast: both sides of the join are plain exchanges, which Spark splits.
     few = rates.limit(SMALL_SOURCES + 1).count() <= SMALL_SOURCES
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("_source")))
-    one = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), i, F.col(key))))
+    joined = docs.toDF(*safe).join(F.broadcast(rates) if few else rates, source.eqNullSafe(F.col("_source")))
+    one = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), i, by)))
     copies = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda acc, i: acc + one(i))
     drawn = joined.withColumn("copies", copies).where("copies > 0")
     exploded = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = exploded.withColumn("shuffle_key", F.md5(F.concat_ws("-", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy_no"))))
-    out = keyed.select(*names, "copies", "copy_no", "rate", "shuffle_key")
+    keyed = exploded.withColumn("shuffle_key", F.md5(F.concat_ws("-", F.lit(seed), F.lit("order"), F.coalesce(by.cast("string"), F.lit("")), F.col("copy_no"))))
+    out = keyed.select(*[F.col(c).alias(n) for c, n in zip(safe, names, strict=True)], *ADDED)
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

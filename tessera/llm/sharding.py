@@ -3,14 +3,16 @@
 Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side and a
 shard boundary falls inside such a group only where it must. A sample of keys drawn
 with a probability proportional to the row's bytes gives quantile boundaries; records
-fall into the ranges between them, and ranges with too many rows are subdivided by a
-hash of the id. The bytes of all ranges, cumulated exactly, then place every record in
+fall into the ranges between them. Ranges with too many rows are subdivided in the same
+order: by even steps of the hash, and where one text fills a step, by even steps of its
+ids. The bytes of all ranges, cumulated exactly, then place every record in
 one of ``shards`` shards of near equal bytes (law ``bytes``): a record goes where the
 middle of its bytes lies.
 
 A null text has size 1 and the crc of the empty text; null ids sort first; repeated
-rows and ties are rows of their own; an empty table gives an empty one. Other columns
-are kept unless they carry the name of an added one.
+rows and ties are rows of their own; a very long text is read once, for its size and hash;
+an empty table gives an empty one. Other columns are kept, whatever their names, unless
+they carry the name of an added one.
 """
 
 from __future__ import annotations
@@ -44,12 +46,26 @@ def _range_of(bounds: list[tuple[int, int]]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"])
 
 
+def _subdivided(placed: DataFrame) -> DataFrame:
+    """Ranges in steps of about RANGE_ROWS rows, and steps that one text fills in parts, in the order of (_h, _k)."""
+    even = lambda c, lo, hi, n: F.least(n - 1, F.floor((c.cast("double") - lo.cast("double")) / (hi.cast("double") - lo.cast("double") + 1.0) * n)).cast("int")
+    # At most RANGES rows: a bounded broadcast.
+    spans = F.broadcast(placed.groupBy("_range").agg(F.ceil(F.count(F.lit(1)) / RANGE_ROWS).cast("int").alias("_n"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi")))
+    stepped = placed.join(spans, "_range").withColumn("_step", even(F.col("_h"), F.col("_lo"), F.col("_hi"), F.col("_n"))).drop("_n", "_lo", "_hi")
+    texts = stepped.groupBy("_range", "_step", "_h").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi"))
+    hot = texts.where(F.col("n") > RANGE_ROWS).groupBy("_range", "_step").agg(F.max(F.struct("n", F.col("_h").alias("h"), "lo", "hi")).alias("t"))
+    hot = materialize(hot.select("_range", "_step", F.col("t.h").alias("_hot"), F.ceil(F.col("t.n") / RANGE_ROWS).cast("int").alias("_n"), F.col("t.lo").alias("_lo"), F.col("t.hi").alias("_hi")), "hot-texts")
+    part = F.when(F.col("_hot").isNull() | (F.col("_h") < F.col("_hot")), 0).when(F.col("_h") > F.col("_hot"), F.col("_n") + 1).otherwise(even(F.col("_k"), F.col("_lo"), F.col("_hi"), F.col("_n")) + 1)
+    return stepped.join(hot, ["_range", "_step"], "left").withColumn("_part", part.cast("int")).drop("_hot", "_n", "_lo", "_hi")
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and size, text_crc32, law, shard, slot, grown_shard."""
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ADDED]
+    safe = [f"_c{i}" for i in range(len(names))]
     text = F.col("text").cast("string")
     keyed = docs.select(
-        *names,
+        *[F.col(c).alias(a) for c, a in zip(names, safe, strict=True)],
         (utf8_size(text) + 1).alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("_h"),
@@ -63,22 +79,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, keep: list[str] | None =
     sample = sorted((r["_h"], r["_k"]) for r in keyed.where(draw < chance).select("_h", "_k").collect())
     bounds = sorted({sample[len(sample) * i // RANGES] for i in range(1, RANGES)}) if sample else []
     placed = keyed.withColumn("_range", _range_of(bounds))
-    # At most RANGES rows: a bounded broadcast.
-    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.broadcast(counts.select("_range", F.ceil(F.col("_n") / RANGE_ROWS).cast("int").alias("_parts")))
-    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_k", "text_crc32", F.lit(11)), F.col("_parts"))).otherwise(0).cast("int")
-    fine = placed.join(parts, "_range").withColumn("_part", part).drop("_parts")
-    inner = Window.partitionBy("_range", "_part").orderBy("_h", "_k", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    fine = _subdivided(placed)
+    at = ("_range", "_step", "_part")
+    inner = Window.partitionBy(*at).orderBy("_h", "_k", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     local = fine.withColumns({"_bytes": F.sum("size").over(inner), "_rows": F.count(F.lit(1)).over(inner)})
     # Bytes and rows before each part, in two steps: within a range, then one row a range.
-    sums = fine.groupBy("_range", "_part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    sums = fine.groupBy(*at).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    in_range, over = Window.partitionBy("_range").orderBy("_part"), Window.orderBy("_range")
+    in_range, over = Window.partitionBy("_range").orderBy("_step", "_part"), Window.orderBy("_range")
     ranges = sums.groupBy("_range").agg(F.sum("b").alias("rb"), F.sum("n").alias("rn")).select("_range", before("rb", over).alias("rb"), before("rn", over).alias("rn"))
-    offsets = sums.select("_range", "_part", before("b", in_range).alias("pb"), before("n", in_range).alias("pn")).join(F.broadcast(ranges), "_range").select("_range", "_part", (F.col("pb") + F.col("rb")).alias("_b0"), (F.col("pn") + F.col("rn")).alias("_n0"))
+    offsets = sums.select(*at, before("b", in_range).alias("pb"), before("n", in_range).alias("pn")).join(F.broadcast(ranges), "_range").select(*at, (F.col("pb") + F.col("rb")).alias("_b0"), (F.col("pn") + F.col("rn")).alias("_n0"))
     middle = (F.col("_b0") + F.col("_bytes")) * 2 - F.col("size")
-    numbered = local.join(offsets, ["_range", "_part"]).withColumn("_m", middle).withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"cast((_m * {shards}) div {2 * total} as int)")))
-    numbered = materialize(numbered.select(*names, "size", "text_crc32", "shard", (F.col("_n0") + F.col("_rows") - 1).alias("_row")), "shard-rows")
+    numbered = local.join(offsets, list(at)).withColumn("_m", middle).withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"cast((_m * {shards}) div {2 * total} as int)")))
+    numbered = materialize(numbered.select(*safe, "size", "text_crc32", "shard", (F.col("_n0") + F.col("_rows") - 1).alias("_row")), "shard-rows")
     # One row a shard.
     first = F.broadcast(numbered.groupBy("shard").agg(F.min("_row").alias("_first")))
-    return numbered.join(first, "shard").select(*names, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.join(first, "shard").select(*[F.col(a).alias(c) for c, a in zip(names, safe, strict=True)], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

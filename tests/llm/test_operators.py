@@ -238,6 +238,8 @@ def test_token_counts(docs, texts, empty):
 
 
 def test_mixing(docs, empty, spark, tmp_path):
+    clash = mixing.mix(docs.withColumnsRenamed({"score": "cdf", "shard": "draws", "k1": "_source", "rid": "_c1"}))
+    assert {"cdf", "draws", "_source", "_c1"} < set(clash.columns) and {(r["_source"], r.cdf) for r in clash.collect()} <= {(1, "s"), (None, None)}
     out = mixing.mix(docs.drop("score", "shard", "k1", "rid"))
     docs.drop("score", "shard", "k1", "rid").coalesce(1).write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
@@ -252,6 +254,25 @@ def test_mixing(docs, empty, spark, tmp_path):
     assert abs(counts["small"] - 1000) < 200 and abs(counts["big"] - 1000) < 150
 
 
+def test_sharding_keeps_equal_texts_together(spark, monkeypatch):
+    """A hot text, ties of ids, and ranges that are subdivided: still the order of text and id."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 5)
+    monkeypatch.setattr(sharding, "RANGES", 3)
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 40}") for i in range(300)] + [(7, "hot"), (7, "hot"), (None, "hot")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, _h int, _k int, size int")
+    out = sharding.shard_documents(docs, 4).collect()
+    assert len(out) == len(rows) and {(r["_h"], r["_k"]) for r in out} == {(1, 2)}
+    order = sorted(out, key=lambda r: (r.shard, r.slot))
+    runs = [t for t, before in zip([r.text for r in order], [None, *[r.text for r in order]]) if t != before]
+    assert len(runs) == len(set(runs))
+    hot = [r.doc_id if r.doc_id is not None else -1 for r in order if r.text == "hot"]
+    assert hot == sorted(hot)
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 20
+
+
 def test_sharding(docs, texts, empty):
     rows = sharding.shard_documents(docs, 16).collect()
     slots, sizes = defaultdict(list), Counter()
