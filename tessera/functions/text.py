@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,19 +19,56 @@ STREET_WORDS = {
     "drive": "dr", "floor": "fl", "highway": "hwy", "lane": "ln", "parkway": "pkwy", "place": "pl", "road": "rd",
     "square": "sq", "street": "st", "suite": "ste",
 }
-ACCENTED = "áàâäãåçéèêëíìîïñóòôöõøúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 LEGAL_PATTERN = r"\b(" + "|".join(sorted(LEGAL_WORDS, key=lambda w: (-len(w), w))) + r")\b"
 
 
+# Letters that their Unicode names do not spell out.
+SPELLED = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "ı": "i",
+    "θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps", "ξ": "x", "η": "e", "х": "kh", "щ": "shch", "ы": "y",
+}
+
+
+def _spell(c: str) -> str | None:
+    """Latin letters for one lower-case letter, sign or digit, from its Unicode name."""
+    if c in SPELLED:
+        return SPELLED[c]
+    plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    if plain and plain.isascii():
+        return plain.lower()
+    digit, name = unicodedata.digit(c, None), unicodedata.name(plain[:1] or c, "").split()
+    if digit is not None:
+        return str(digit)
+    if not name or name[0] not in SCRIPTS:
+        return None
+    sound = name[-1].lower()
+    if "SIGN" in name and "VOWEL" not in name:
+        return "n" if sound in ("anusvara", "candrabindu") else ""
+    if name[0] == "GREEK":
+        return sound[0]
+    if name[0] == "CYRILLIC":
+        if len(sound) == 2 and sound[0] == "e" and sound[1] not in "aeiou":
+            return sound[1]
+        return sound.rstrip("e") or "e" if sound not in ("ie", "ka", "sha") else {"ie": "e", "ka": "k", "sha": "sh"}[sound]
+    # Indic scripts: a consonant is named with the vowel that it carries.
+    return sound[:-1] if sound.endswith("a") and sound.strip("aeiou") else sound
+
+
+SCRIPTS = ("GREEK", "CYRILLIC", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")
+#: Letters beyond ASCII and what they are written as, by the rule above.
+LETTERS = {c: x for n in (*range(0xC0, 0x180), *range(0x370, 0x460), *range(0x900, 0xD80)) if (c := chr(n)) == c.lower() and (x := _spell(c)) is not None}
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
 def to_ascii(c: Column) -> Column:
-    """Lower case without Latin accents; letters beyond the table are kept."""
-    low = F.translate(F.lower(c), ACCENTED, PLAIN)
-    return F.replace(F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    """Lower case, with letters of other scripts written in Latin ones; unknown ones are kept."""
+    low = F.lower(c)
+    letters = F.expr("str_to_map('" + ",".join(f"{k}:{v}" for k, v in LETTERS.items()) + "', ',', ':')")
+    spelled = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
+    return F.when(low.rlike("[^\\x00-\\x7f]"), spelled).otherwise(low)
 
 
 def alnum_only(c: Column) -> Column:
@@ -75,11 +113,16 @@ def char_ngrams(c: Column, n: int) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
+# Look-alike digits, and sound classes in the order in which they apply.
+LOOK_ALIKE = ("5013478", "soieatb")
+SOUNDS = (("ph", "f"), ("ck", "k"), ("x", "ks"), ("q", "k"), ("c", "k"), ("w", "v"), ("z", "j"), ("j", "g"))
+
+
 def skeleton(t: Column) -> Column:
     """Phonetic skeleton of a token: look-alike digits, sound classes, vowels dropped."""
     mixed = t.rlike("[0-9]") & ~t.rlike("^[0-9]+$")
-    s = F.when(mixed, F.translate(t, "5013478", "soieatb")).otherwise(t)
-    for a, b in (("ph", "f"), ("ck", "k"), ("x", "ks"), ("q", "k"), ("c", "k"), ("w", "v"), ("z", "j"), ("j", "g")):
+    s = F.when(mixed, F.translate(t, *LOOK_ALIKE)).otherwise(t)
+    for a, b in SOUNDS:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(s, r"(.)\1+", "$1")
     s = F.regexp_replace(s, "^[aeiou]", "a")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.functions.similarity import UDFS
+from tessera.functions.similarity import similarities
 
 # The names and order of the features.
 FEATURE_NAMES = """
@@ -23,6 +23,10 @@ k_num_jac k_num_s1_missing k_num_close
 amb_s1_name_count amb_rec_name_count amb_rec_count_if_noaddr
 cor_global_twin cor_local_twin cor_name_support cor_extra_num_support
 """.split()
+#: Features of edit similarities that SQL engines lack; the others need only native functions and Jaro-Winkler.
+EDIT = ("n_ratio", "n_partial_ratio", "n_token_sort", "n_token_set", "a_ratio", "a_token_sort", "a_token_set")
+PLAIN = [n for n in FEATURE_NAMES if n not in EDIT]
+_EDIT_OF = {"ratio": "ratio", "partial_ratio": "partial_ratio", "token_sort": "token_sort_ratio", "token_set": "token_set_ratio"}
 
 
 def _both(a: Column, b: Column) -> tuple[Column, Column]:
@@ -47,8 +51,8 @@ def _close(a: Column, b: Column) -> Column:
     return F.exists(x, lambda i: F.exists(y, lambda j: F.abs(i.cast("long") - j.cast("long")).between(1, 20)))
 
 
-def pair_features(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFrame:
-    """s1_id, rec_id and all features of compressed candidates (with texts and rank score)."""
+def pair_features(pairs: DataFrame, s1: DataFrame, records: DataFrame, wanted: list[str] = FEATURE_NAMES) -> DataFrame:
+    """country, s1_id, rec_id and the features of compressed candidates (with texts and rank score)."""
     names = s1.groupBy(F.col("country_norm").alias("country"), t.name_key(F.col("name_core")).alias("key")).agg(F.count(F.lit(1)).alias("count"))
     twin = t.twin_key(F.col("name_core"), F.col("addr_street"))
     twins = records.select(F.col("entity_id").alias("rec_id"), (F.count(F.lit(1)).over(Window.partitionBy("country_norm", twin)) - 1).alias("cor_global_twin"))
@@ -73,7 +77,7 @@ def pair_features(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFr
     base = base.join(support, ["country", "s1_id", "rec_id"], "left")
     q, c = (lambda x: F.col("q_" + x)), (lambda x: F.col("c_" + x))
     same = lambda x: (q(x) != "") & (q(x) == c(x))
-    sim = lambda n, x: UDFS[n]("q_" + x, "c_" + x)
+    edits = {x: [n for f, n in _EDIT_OF.items() if f"{x}_{f}" in wanted] for x in "na"}
     digits = lambda xs: F.filter(xs, lambda x: x.rlike("^[0-9]+$"))
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     shared = lambda k: F.size(F.array_intersect(kinds[k](F.col("qt")), kinds[k](F.col("ct")))).cast("double")
@@ -85,17 +89,21 @@ def pair_features(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFr
     score = lambda x, default: F.coalesce(F.col(x), F.lit(float(default)))
     top = F.max("rank_score").over(own)
     by_rank = own.orderBy(F.desc("rank_score"), "rec_id")
-    first = base.withColumns({"n_jaro_winkler": sim("jaro_winkler", "name_core"), "a_jaro_winkler": sim("jaro_winkler", "addr_street")})
+    # All similarities of a pair of strings come from one pass.
+    of = {x: similarities("jaro_winkler", *edits[x])(f"q_{c}", f"c_{c}") for x, c in (("n", "name_core"), ("a", "addr_street"))}
+    first = base.withColumns({f"{x}_sims": s for x, s in of.items()})
+    first = first.withColumns({f"{x}_jaro_winkler": F.col(f"{x}_sims.jaro_winkler") for x in "na"})
+    edit = {f"{x}_{f}": F.col(f"{x}_sims.{n}") for x in "na" for f, n in _EDIT_OF.items() if n in edits[x]}
     strong_n, strong_a = _flag(F.col("n_jaro_winkler") > 0.90), _flag(F.col("a_jaro_winkler") > 0.85)
     values = {
         "n_exact_alnum": _flag(same("name_alnum")), "n_exact_core": _flag(same("name_core")),
         "n_exact_compact": _flag((q("name_core") != "") & (bare(q("name_core")) == bare(c("name_core")))),
         "n_sorted_eq": _flag((F.size("qn") > 0) & (F.array_sort("qn") == F.array_sort("cn"))),
-        "n_ratio": sim("ratio", "name_core"), "n_partial_ratio": sim("partial_ratio", "name_core"), "n_token_sort": sim("token_sort_ratio", "name_core"), "n_token_set": sim("token_set_ratio", "name_core"),
+        **edit,
         "n_lev_norm": F.when((q("name_core") == "") | (c("name_core") == ""), 0.0).otherwise(1 - F.try_divide(F.levenshtein(q("name_core"), c("name_core")), longest)),
         "n_prefix4": _flag((q("name_core") != "") & (F.substring(q("name_core"), 1, 4) == F.substring(c("name_core"), 1, 4))),
         "n_len_ratio": _length_ratio("q_name_core", "c_name_core"), "n_tok_jaccard": n_jac, "n_tok_containment": n_con, "n_rare_tok_overlap": F.lit(0.0),
-        "a_exact": _flag(same("addr_street")), "a_ratio": sim("ratio", "addr_street"), "a_token_sort": sim("token_sort_ratio", "addr_street"), "a_token_set": sim("token_set_ratio", "addr_street"),
+        "a_exact": _flag(same("addr_street")),
         "a_tok_jaccard": a_jac, "a_tok_containment": a_con, "a_len_ratio": _length_ratio("q_addr_street", "c_addr_street"),
         "a_house_match": _flag(same("house_number")), "a_postal_match": _flag(same("postal_code")),
         "a_digit_jaccard": d_jac, "a_digit_overlap_n": F.size(F.array_intersect(digits(F.col("qa")), digits(F.col("ca")))).cast("double"),
@@ -117,4 +125,4 @@ def pair_features(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFr
         "cor_extra_num_support": F.when(F.size(extra) == 0, -1.0).otherwise(score("num_support", 0)),
     }
     full = first.withColumns(values)
-    return full.select("s1_id", "rec_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in FEATURE_NAMES])
+    return full.select("country", "s1_id", "rec_id", *[F.round(F.col(n).cast("double"), 7).alias(n) for n in FEATURE_NAMES if n in wanted])

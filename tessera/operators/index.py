@@ -1,13 +1,34 @@
-"""TF/IDF token index and top-k similarity joins."""
+"""TF/IDF token index and top-k similarity joins, for all retrieval channels in one plan.
+
+A token table has one row for each distinct token of a record in a channel: channel,
+country, side (``s`` the clean register, ``r`` the other records), id, tok. A channel is
+asked from one side and answered from the other; vocabulary, norms, look-ups and ranks of
+all channels are computed together, with the channel as part of each key.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DF_LIMIT = 50_000
+#: A token in so many records may be looked up whatever the share of its channel says.
+DF_LEAST = 20
+
+
+@dataclass(frozen=True)
+class Channel:
+    """What a channel asks with (``asked``: the side of the queries), and how far it looks."""
+
+    name: str
+    tokens: Callable[[], Column]
+    asked: str
+    k: int
+    query_tokens: int
+    df_frac: float
 
 
 def token_rows(records: DataFrame, tokens: Column) -> DataFrame:
@@ -15,34 +36,58 @@ def token_rows(records: DataFrame, tokens: Column) -> DataFrame:
     return records.select(F.col("country_norm").alias("country"), F.col("entity_id").alias("id"), F.explode(F.array_distinct(tokens)).alias("tok"))
 
 
-def vocabulary(records: DataFrame, rows: DataFrame, df_frac: float) -> DataFrame:
-    """country, tok, df, idf, indexable; the document count includes empty records."""
-    sizes = records.groupBy(F.col("country_norm").alias("country")).agg(F.count(F.lit(1)).alias("n_docs"))
-    df = rows.groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))
-    cap = F.least(F.lit(DF_LIMIT), F.greatest(F.lit(1), F.floor(F.col("n_docs") * F.lit(df_frac))))
+def token_table(records: DataFrame, channels: list[Channel]) -> DataFrame:
+    """channel, country, side, id, tok, from one pass over the records."""
+    side = F.when(F.col("tier") == 1, "s").otherwise("r")
+    of = F.explode(F.array(*[F.struct(F.lit(c.name).alias("channel"), F.array_distinct(c.tokens()).alias("toks")) for c in channels]))
+    rows = records.select(F.col("country_norm").alias("country"), side.alias("side"), F.col("entity_id").alias("id"), of.alias("x"))
+    return rows.select("x.channel", "country", "side", "id", F.explode("x.toks").alias("tok"))
+
+
+def _by_channel(channels: list[Channel], value: Callable[[Channel], object]) -> Column:
+    out = F.lit(None)
+    for c in channels:
+        out = F.when(F.col("channel") == c.name, F.lit(value(c))).otherwise(out)
+    return out
+
+
+def vocabulary(records: DataFrame, tokens: DataFrame, channels: list[Channel]) -> DataFrame:
+    """channel, country, tok, df, idf, indexable of the answering side; its size counts empty records too."""
+    sizes = records.groupBy(F.col("country_norm").alias("country"), F.when(F.col("tier") == 1, "s").otherwise("r").alias("side")).agg(F.count(F.lit(1)).alias("n_docs"))
+    df = tokens.where(F.col("side") != _by_channel(channels, lambda c: c.asked)).groupBy("channel", "country", "side", "tok").agg(F.count(F.lit(1)).alias("df"))
+    cap = F.least(F.lit(DF_LIMIT), F.greatest(F.lit(DF_LEAST), F.floor(F.col("n_docs") * _by_channel(channels, lambda c: c.df_frac))))
     idf = F.log(1 + F.col("n_docs") / (1 + F.col("df")))
-    return df.join(sizes, "country").select("country", "tok", "df", idf.alias("idf"), (F.col("df") <= cap).alias("indexable"))
+    # One row a country and side: a bounded broadcast.
+    return df.join(F.broadcast(sizes), ["country", "side"]).select("channel", "country", "tok", "df", idf.alias("idf"), (F.col("df") <= cap).alias("indexable"))
 
 
-def norms(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    return rows.join(vocab.select("country", "tok", "idf"), ["country", "tok"]).groupBy("country", "id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+def weigh(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The tokens that the answering side knows, with their weight and the norm of their record."""
+    known = tokens.join(vocab, ["channel", "country", "tok"])
+    own = Window.partitionBy("channel", "country", "side", "id")
+    return known.withColumn("norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(own)))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, tokens: Callable[[], Column], df_frac: float, k: int, query_tokens: int) -> DataFrame:
-    """country, q, d, score, rank (0-based) of the k corpus records nearest to each query.
+def top_k(weighted: DataFrame, channels: list[Channel]) -> DataFrame:
+    """channel, country, q, d, score, rank (0-based) of the records nearest to each query.
 
     Only the rarest indexable tokens of a query are looked up; the df cap bounds the
     rows that a token can bring, so the join grows with the input, not with its square.
+    Both sides of the look-up are plain exchanges, so Spark splits a hot token.
     """
-    q_rows, d_rows = token_rows(queries, tokens()), token_rows(corpus, tokens())
-    vocab = vocabulary(corpus, d_rows, df_frac)
-    known = q_rows.join(vocab, ["country", "tok"])
-    q_norm = known.groupBy("country", "id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("q_norm"))
-    rare = Window.partitionBy("country", "id").orderBy("df", "tok")
-    asked = known.where("indexable").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= query_tokens)
-    hits = asked.select("country", "tok", "idf", F.col("id").alias("q")).join(d_rows.withColumnRenamed("id", "d"), ["country", "tok"])
-    sums = hits.groupBy("country", "q", "d").agg(F.sum(F.col("idf") * F.col("idf")).alias("s"))
-    scored = sums.join(q_norm.withColumnRenamed("id", "q"), ["country", "q"]).join(norms(d_rows, vocab).withColumnRenamed("id", "d"), ["country", "d"])
-    scored = scored.select("country", "q", "d", F.round(F.col("s") / (F.col("q_norm") * F.col("norm")), 6).alias("score"))
-    best = Window.partitionBy("country", "q").orderBy(F.desc("score"), "d")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("long"))
+    weighted = weighted.where(F.col("channel").isin([c.name for c in channels]))
+    asks = F.col("side") == _by_channel(channels, lambda c: c.asked)
+    rare = Window.partitionBy("channel", "country", "id").orderBy("df", "tok")
+    asked = weighted.where(asks & F.col("indexable")).withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= _by_channel(channels, lambda c: c.query_tokens))
+    asked = asked.select("channel", "country", "tok", "idf", F.col("id").alias("q"), F.col("norm").alias("qn"))
+    answers = weighted.where(~asks & F.col("indexable")).select("channel", "country", "tok", F.col("id").alias("d"), F.col("norm").alias("dn"))
+    sums = asked.join(answers, ["channel", "country", "tok"]).groupBy("channel", "country", "q", "d").agg(F.sum(F.col("idf") * F.col("idf")).alias("s"), F.first("qn").alias("qn"), F.first("dn").alias("dn"))
+    scored = sums.select("channel", "country", "q", "d", F.round(F.col("s") / (F.col("qn") * F.col("dn")), 6).alias("score"))
+    best = Window.partitionBy("channel", "country", "q").orderBy(F.desc("score"), "d")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= _by_channel(channels, lambda c: c.k))
+    return ranked.withColumn("rank", (F.col("rank") - 1).cast("long"))
+
+
+def index_stats(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Per channel and country: tokens, postings and indexable tokens of the answering side."""
+    return vocab.groupBy("channel", "country").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("df").alias("n_postings"), F.sum(F.col("indexable").cast("long")).alias("n_indexable"), F.max("df").alias("max_df"))

@@ -4,54 +4,79 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.functions.similarity import UDFS
+from tessera.functions.similarity import NAMES, similarities
 from tessera.operators import features, index, learning
 from tessera.operators import matching as m
+from tessera.scratch import table_path
 from tessera.sources import records
 
 from .oracles import ORACLE_SQL as ORACLE_SQL
+from .stages import Stages
 
 FLAGSHIP = "matching_results"
-THRESHOLD = 0.3
-GRID = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+THRESHOLD = 0.7
+GRID = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+KEY = ["country", "s1_id", "rec_id"]
 
 
-def _sides(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    rec = records.rec_view(spark, d, whole)
-    return rec.where("tier = 1"), rec.where("tier > 1")
+# --- records -------------------------------------------------------------------------------
 
 
-def norm_record(spark, d, whole=False):
-    return records.rec_view(spark, d, whole).drop("tier")
+def raw_records(spark, d):
+    return records.business_records(spark, d)
 
 
-def _words(spark, d, whole=False):
-    rec = records.rec_view(spark, d, whole)
-    return rec.select(F.explode(F.array_distinct(t.tokens(F.concat_ws(" ", "name_alnum", "addr_alnum", "addr_street")))).alias("tok")).distinct()
+def norm_record(spark, d):
+    return Stages(spark, d).records().drop("tier", "owner")
+
+
+def legal_suffix(spark, d):
+    return Stages(spark, d).records().where("name_core <> name_alnum").groupBy("name_alnum", "name_core").agg(F.count(F.lit(1)).alias("n"))
+
+
+def street_abbrev(spark, d):
+    return Stages(spark, d).records().where("addr_alnum <> addr_street").select("entity_id", "addr_alnum", "addr_street")
 
 
-def phonetic_skeleton(spark, d, whole=False):
-    return _words(spark, d, whole).select("tok", t.skeleton(F.col("tok")).alias("skeleton"))
+def digit_groups(spark, d):
+    return Stages(spark, d).records().select("entity_id", F.posexplode(F.split("digits", " ")).alias("place", "digit_group")).where("digit_group <> ''")
 
 
-def joint_skeleton(spark, d, whole=False):
-    return _words(spark, d, whole).select("tok", t.joint_skeleton(F.col("tok")).alias("skeleton"))
+def countries(spark, d):
+    return records.countries(*Stages(spark, d).sides())
+
+
+def country_corpus(spark, d):
+    """The corpus written by country and read back for a few of them: partitions are pruned."""
+    path = table_path(spark, "corpus")
+    records.write_norm(Stages(spark, d).sides()[1].drop("tier", "owner"), path)
+    back = spark.read.parquet(path).where("country_norm in ('nation_3', 'nation_7')")
+    return back.groupBy(F.col("country_norm").cast("string").alias("country_norm")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("postal_code").alias("n_postal"))
+
+
+def _words(spark, d):
+    rec = Stages(spark, d).records()
+    return rec.select(F.explode(F.array_distinct(t.tokens(F.concat_ws(" ", "name_alnum", "addr_alnum", "addr_street")))).alias("tok")).distinct()
 
 
-def tok4_tokens(spark, d, whole=False):
-    return index.token_rows(records.rec_view(spark, d, whole), m.TOK4())
+def phonetic_skeleton(spark, d):
+    return _words(spark, d).select("tok", t.skeleton(F.col("tok")).alias("skeleton"))
 
 
-def joint_tokens(spark, d, whole=False):
-    return index.token_rows(records.rec_view(spark, d, whole), m.JOINT())
+def joint_skeleton(spark, d):
+    return _words(spark, d).select("tok", t.joint_skeleton(F.col("tok")).alias("skeleton"))
 
 
-def char_ngrams_df(spark, d, whole=False):
-    return index.token_rows(records.rec_view(spark, d, whole), m.NAME()).groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))
+def _tokens(spark, d, channel):
+    return Stages(spark, d).tokens().where(F.col("channel") == channel).select("country", "id", "tok")
+
+
+def char_ngrams_df(spark, d):
+    return _tokens(spark, d, "D").groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))
 
 
 def url_tokens(spark, d):
@@ -60,216 +85,342 @@ def url_tokens(spark, d):
     return pages.select("page_id", F.explode(words).alias("tok")).distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
 
 
-def name_key_counts(spark, d, whole=False):
-    return records.rec_view(spark, d, whole).groupBy(F.col("country_norm").alias("country"), t.name_key(F.col("name_core")).alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
+def name_key_counts(spark, d):
+    return Stages(spark, d).records().groupBy(F.col("country_norm").alias("country"), t.name_key(F.col("name_core")).alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def twin_counts(spark, d, whole=False):
-    keyed = records.rec_view(spark, d, whole).select("entity_id", "country_norm", t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin_key"))
+def twin_counts(spark, d):
+    keyed = Stages(spark, d).records().select("entity_id", "country_norm", t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin_key"))
     return keyed.select("entity_id", "twin_key", (F.count(F.lit(1)).over(Window.partitionBy("country_norm", "twin_key")) - 1).alias("twins"))
 
 
-def _block(spark, d, kind, whole=False):
-    return m.block(*_sides(spark, d, whole), kind)
+# --- retrieval -----------------------------------------------------------------------------
+
+
+def _block(spark, d, kind):
+    return m.block(*Stages(spark, d).sides(), kind)
+
+
+def block_sizes(spark, d):
+    return m.key_growth(*Stages(spark, d).sides(), "core")
+
+
+def idf_vocab(spark, d):
+    return Stages(spark, d).vocabulary().withColumn("idf", F.round("idf", 6))
+
 
+def index_stats(spark, d):
+    s = Stages(spark, d)
+    return index.index_stats(s.tokens(), s.vocabulary())
 
-def idf_vocab(spark, d, whole=False):
-    _, rec = _sides(spark, d, whole)
-    return index.vocabulary(rec, index.token_rows(rec, m.NAME()), 0.1).withColumn("idf", F.round("idf", 6))
 
+def _top(spark, d, channel):
+    found = Stages(spark, d).found().where(F.col("channel") == channel)
+    return found.select("country", F.col("q").alias("s1_id"), F.col("d").alias("rec_id"), "score", "rank")
 
-def _top(spark, d, tokens, k, n, whole=False):
-    return index.top_k(*_sides(spark, d, whole), tokens, 0.1, k, n).withColumnsRenamed({"q": "s1_id", "d": "rec_id"})
 
+def reverse_top3(spark, d):
+    return m.reverse_links(Stages(spark, d).found())
 
-def reverse_top3(spark, d, whole=False):
-    return m.reverse_links(*_sides(spark, d, whole))
 
+def reverse_capped(spark, d):
+    return Stages(spark, d).links()
 
-def reverse_capped(spark, d, whole=False):
-    return m.cap_links(reverse_top3(spark, d, whole))
 
+def reverse_counts(spark, d):
+    return Stages(spark, d).links().groupBy("country", "s1_id").agg(F.count(F.lit(1)).alias("n"))
 
-def candidate_union(spark, d, whole=False):
-    return m.candidates(*_sides(spark, d, whole))
 
+def candidate_union(spark, d):
+    return Stages(spark, d).candidates()
 
-def _linked(spark, d, whole=False):
-    """The pairs that are scored, decided and measured: the compressed union of all channels where ``whole``, else reverse links."""
-    return compress_adaptive(spark, d) if whole else reverse_capped(spark, d)
 
+def candidate_union_all(spark, d):
+    """With the optional channel F."""
+    s = Stages(spark, d)
+    return m.candidates(*s.sides(), s.found(), "DEFJ")
 
-def _texts(spark, d, whole=False):
-    s1, rec = _sides(spark, d, whole)
-    return m.with_texts(_linked(spark, d, whole).select("country", "s1_id", "rec_id"), s1, rec)
 
+# --- candidates ----------------------------------------------------------------------------
 
-def sim_jaro_winkler(spark, d, whole=False):
-    return _texts(spark, d, whole).select("s1_id", "rec_id", F.round(UDFS["jaro_winkler"]("q_name_core", "c_name_core"), 6).alias("sim"))
 
+def _texts(spark, d):
+    s = Stages(spark, d)
+    return m.with_texts(s.compressed().select(*KEY), *s.sides())
 
-def sim_levenshtein(spark, d, whole=False):
+
+def sim_jaro_winkler(spark, d):
+    sim = similarities("jaro_winkler")("q_name_core", "c_name_core")
+    return _texts(spark, d).withColumn("x", sim).select("s1_id", "rec_id", F.round("x.jaro_winkler", 6).alias("sim"))
+
+
+def sim_levenshtein(spark, d):
     a, b = F.col("q_name_core"), F.col("c_name_core")
     distance = F.levenshtein(a, b)
     sim = F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.try_divide(distance, F.greatest(F.length(a), F.length(b))))
-    return _texts(spark, d, whole).select("s1_id", "rec_id", distance.cast("long").alias("distance"), F.round(sim, 6).alias("sim"))
+    return _texts(spark, d).select("s1_id", "rec_id", distance.cast("long").alias("distance"), F.round(sim, 6).alias("sim"))
 
 
 def sim_indel_family(spark, d):
-    names = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
-    return _texts(spark, d, whole=True).select("s1_id", "rec_id", *[F.round(UDFS[n]("q_name_core", "c_name_core"), 6).alias(n) for n in names])
+    sims = similarities(*NAMES)("q_name_core", "c_name_core")
+    return _texts(spark, d).withColumn("x", sims).select("s1_id", "rec_id", *[F.round(f"x.{n}", 6).alias(n) for n in NAMES])
 
 
 def cheap_rank(spark, d):
-    s1, rec = _sides(spark, d, whole=True)
-    pairs = m.with_texts(m.candidates(s1, rec), s1, rec)
-    sim = UDFS["weighted_ratio"]
-    return m.rank_score(pairs, sim("q_name_core", "c_name_core"), sim("q_addr_street", "c_addr_street"))
+    return Stages(spark, d).ranked().select(*KEY, "name_sim", "addr_sim", "exact_name", "house_match", "postal_match", "n_channels", "rank_score")
+
+
+def cheap_rank_weighted(spark, d):
+    """The rank score with weighted ratios in place of Jaro-Winkler."""
+    ranked = Stages(spark, d).ranked().drop("name_sim", "addr_sim", "exact_name", "house_match", "postal_match", "n_channels", "rank_score")
+    sim = similarities("weighted_ratio")
+    pairs = ranked.withColumns({"_n": sim("q_name_core", "c_name_core"), "_a": sim("q_addr_street", "c_addr_street")})
+    return m.rank_score(pairs, F.col("_n.weighted_ratio"), F.col("_a.weighted_ratio")).select(*KEY, F.round("name_sim", 6).alias("name_sim"), F.round("addr_sim", 6).alias("addr_sim"), "rank_score")
 
 
 def compress_adaptive(spark, d):
-    return m.compress(cheap_rank(spark, d)).select("country", "s1_id", "rec_id", "rank_score", "rn", "budget", "protected")
+    return Stages(spark, d).compressed().select(*KEY, "rank_score", "rn", "budget", "protected")
+
+
+def candidate_pairs(spark, d):
+    """The candidate lists as they are written for each S1 entity."""
+    s = Stages(spark, d)
+    return records.id_lists(s.sides()[0], s.compressed(), "candidate_entity_ids")
+
+
+def budget_sweep(spark, d):
+    s = Stages(spark, d)
+    return m.budget_sweep(s.ranked(), s.universe(), s.truth())
+
+
+def candidate_metrics(spark, d):
+    s = Stages(spark, d)
+    corpus = s.sides()[1].agg(F.count(F.lit(1)).alias("n_corpus"))
+    return m.candidate_metrics(m.entity_counts(s.universe(), s.truth(), s.compressed()), corpus)
+
+
+def _features(spark, d, prefix):
+    names = [n for n in features.PLAIN if n.split("_")[0] in prefix]
+    return Stages(spark, d).features().select("s1_id", "rec_id", *names)
 
 
 def pair_features(spark, d):
-    s1, rec = _sides(spark, d, whole=True)
-    return features.pair_features(m.compress(cheap_rank(spark, d)), s1, rec)
+    return Stages(spark, d).features()
+
+
+# --- splits, labels, scores ----------------------------------------------------------------
 
 
 def split_buckets(spark, d):
     bucket = records.split_bucket(F.col("entity_id"))
-    return records.rec_view(spark, d).select("entity_id", bucket.alias("bucket"), (bucket < 5).alias("held_out"))
+    return Stages(spark, d).records().select("entity_id", bucket.alias("bucket"), (bucket < 5).alias("held_out"))
 
 
-def truth(spark, d, whole=False):
-    """country, s1_id, rec_id: the smallest S1 record with the same eight words, or all words where ``whole``."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
-    text = t.alnum_only(t.to_ascii(F.col("text")))
-    key = F.when(text == "", "").otherwise(F.sha2(text, 256)) if whole else F.array_join(F.slice(t.tokens(text), 1, 8), " ")
-    keyed = docs.select("doc_id", (F.substring("source", 4, 9).cast("int") % 3 + 1).alias("tier"), F.col("lang").alias("country"), key.alias("key"))
-    owners = keyed.where("tier = 1 and key <> ''").groupBy("country", "key").agg(F.min("doc_id").alias("owner"))
-    found = keyed.where("tier > 1").join(owners, ["country", "key"])
-    return found.select("country", F.concat(F.lit("S1_"), "owner").alias("s1_id"), F.concat(F.lit("S"), "tier", F.lit("_"), "doc_id").alias("rec_id"))
+def split_files(spark, d):
+    """The split tables as written and read back: sizes of train and val."""
+    path = table_path(spark, "splits")
+    records.write_splits(Stages(spark, d).universe(), path)
+    return spark.read.parquet(path).groupBy(F.col("split").cast("string").alias("split")).agg(F.count(F.lit(1)).alias("n"), F.min("s1_id").alias("first_id"))
 
 
-def _universe(spark, d, whole=False):
-    return _sides(spark, d, whole)[0].select(F.col("entity_id").alias("s1_id"))
+def first_queries(spark, d):
+    """The feature is the limit: the first ten entities of each country."""
+    return records.first_rows(Stages(spark, d).sides()[0].select("country_norm", "entity_id"), 10, "country_norm", "entity_id")
 
 
-def label_pairs(spark, d, whole=False):
-    own = truth(spark, d, whole).select("s1_id", "rec_id", F.lit(1).alias("label"))
-    return _linked(spark, d, whole).select("s1_id", "rec_id").join(own, ["s1_id", "rec_id"], "left").na.fill(0, ["label"])
+def truth_in_corpus(spark, d):
+    return Stages(spark, d).truth()
 
 
-def scored_pairs(spark, d, whole=False):
-    """Pairs with a score from the link and two token-set Jaccards.
+def training_truth(spark, d):
+    """The truth of the entities that are not held out."""
+    s = Stages(spark, d)
+    held = s.universe().where(records.split_bucket(F.col("s1_id")) < 5)
+    return s.truth().join(held, "s1_id", "left_anti").select(*KEY)
 
-    Capped reverse links, or where ``whole`` the compressed union of all channels: score
-    is then the best of the channels' scores, and rank and margin are null without a
-    reverse link.
-    """
-    s1, rec = _sides(spark, d, whole)
-    if whole:
-        best = F.greatest(F.lit(0.0), "d_score", "e_score", "j_score", "r_score")
-        pairs = m.compress(cheap_rank(spark, d)).withColumns({"score": best, "rank": F.col("r_rank").cast("long"), "margin": F.col("r_margin")})
-    else:
-        pairs = m.with_texts(m.cap_links(m.reverse_links(s1, rec)), s1, rec)
 
-    def share(c):
-        a, b = F.array_distinct(t.tokens(F.col("q_" + c))), F.array_distinct(t.tokens(F.col("c_" + c)))
-        return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
+def label_pairs(spark, d):
+    s = Stages(spark, d)
+    own = s.truth().select("s1_id", "rec_id", F.lit(1).alias("label"))
+    return s.compressed().select("country", "s1_id", "rec_id").join(own, ["s1_id", "rec_id"], "left").na.fill(0, ["label"]).select("s1_id", "rec_id", "label")
 
-    p = F.round((F.col("score") + share("name_core") + share("addr_street")) / 3, 6)
-    return pairs.select("country", "s1_id", "rec_id", "score", "rank", "margin", p.alias("p"))
 
+def positive_rate(spark, d):
+    s = Stages(spark, d)
+    labels = label_pairs(spark, d).join(s.compressed().select(*KEY), ["s1_id", "rec_id"])
+    return labels.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 6).alias("positive_rate"))
 
-def _decided(spark, d, whole=False, **how):
-    return m.decide(scored_pairs(spark, d, whole), THRESHOLD, **how).select("country", "s1_id", "rec_id", "p")
 
+def scored_pairs(spark, d):
+    return Stages(spark, d).scored()
 
-def _counts(spark, d, whole=False):
-    return m.entity_counts(_universe(spark, d, whole), truth(spark, d, whole), _decided(spark, d, whole, unique=True))
 
+def pair_quality(spark, d):
+    s = Stages(spark, d)
+    held = s.scored().where(records.split_bucket(F.col("s1_id")) < 5)
+    return learning.pair_quality(held.join(label_pairs(spark, d), ["s1_id", "rec_id"]))
 
-def entity_f05(spark, d, whole=False):
-    return _counts(spark, d, whole).withColumn("f05", F.round(m.f_half(), 6))
 
+def ce_pair_text(spark, d):
+    side = lambda p: F.concat_ws(" ; ", p + "name_alnum", p + "addr_street")
+    return _texts(spark, d).select("s1_id", "rec_id", side("q_").alias("a"), side("c_").alias("b"))
 
-def macro_f05(spark, d, whole=False):
-    return m.macro_metrics(_counts(spark, d, whole))
 
+def ce_train_set(spark, d):
+    """Labelled reverse links of entities not held out: a seeded sample of 200 a country (the feature is the sample)."""
+    s = Stages(spark, d)
+    links = s.links().where(records.split_bucket(F.col("s1_id")) >= 5).select(*KEY)
+    own = s.truth().select("s1_id", "rec_id", F.lit(1).alias("label"))
+    sample = records.seeded_sample(links, 200, "country", ["s1_id", "rec_id"], "0")
+    side = lambda p: F.concat_ws(" ; ", p + "name_alnum", p + "addr_street")
+    full = m.with_texts(sample, *s.sides()).join(own, ["s1_id", "rec_id"], "left").na.fill(0, ["label"])
+    return full.select("s1_id", "rec_id", side("q_").alias("a"), side("c_").alias("b"), "label")
 
-def candidate_metrics(spark, d, whole=False):
-    counts = m.entity_counts(_universe(spark, d, whole), truth(spark, d, whole), _linked(spark, d, whole))
-    # The percentile is the element at floor(q * n) of the sorted sizes: found in a
-    # histogram of sizes, which is small, so that no task sees all entities.
-    sizes = counts.groupBy("n_pred").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("n_pred")
-    stepped = sizes.select("n_pred", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
-    p95 = stepped.where("upto >= least(n, floor(0.95D * n) + 1)").agg(F.min("n_pred").alias("p95"))
-    totals = counts.agg(F.sum("n_hit").alias("n_hit"), F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pairs"), F.round(F.try_divide(F.sum("n_hit"), F.sum("n_true")), 6).alias("recall"), F.round(F.avg("n_pred"), 6).alias("avg_size"), F.sum((F.col("n_pred") == 0).cast("long")).alias("n_empty"))
-    return totals.join(F.broadcast(p95))
 
+def second_scores(spark, d):
+    return Stages(spark, d).blended().where("second is not null").select("s1_id", "rec_id", "second")
 
-def threshold_sweep(spark, d, whole=False):
-    return m.threshold_sweep(_universe(spark, d, whole), truth(spark, d, whole), scored_pairs(spark, d, whole), GRID)
 
+def second_scores_rest(spark, d):
+    """Scores made in two goes: what the first one lacks is scored in the second."""
+    s = Stages(spark, d)
+    pairs = s.pair_texts()
+    done = learning.second_scores(pairs.where(learning.fold_of(F.col("s1_id")) == 0))
+    return learning.missing_scores(pairs, done).select("s1_id", "rec_id", F.round("second", 6).alias("second"))
 
-def error_attribution(spark, d, whole=False):
-    own, found = truth(spark, d, whole), _decided(spark, d, whole, unique=True)
-    links = _linked(spark, d, whole).select("s1_id", "rec_id", F.lit(1).alias("c"))
-    missed = own.join(found, ["s1_id", "rec_id"], "left_anti").join(links, ["s1_id", "rec_id"], "left").select(F.when(F.col("c").isNull(), "fn_blocking").otherwise("fn_matcher").alias("kind"))
-    false = found.join(own.select("rec_id", F.col("s1_id").alias("owner")), "rec_id", "left").where("owner is null or owner <> s1_id").select(F.when(F.col("owner").isNull(), "fp_unowned").otherwise("fp_other_owner").alias("kind"))
-    return missed.unionByName(false).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
+def blend_scores(spark, d):
+    return Stages(spark, d).blended().select("s1_id", "rec_id", "blended")
 
-def ce_pair_text(spark, d, whole=False):
-    side = lambda p: F.concat_ws(" ; ", p + "name_alnum", p + "addr_street")
-    return _texts(spark, d, whole).select("s1_id", "rec_id", side("q_").alias("a"), side("c_").alias("b"))
 
+def blend_fit(spark, d):
+    s = Stages(spark, d)
+    labelled = s.blended().join(label_pairs(spark, d), ["s1_id", "rec_id"])
+    return spark.createDataFrame([learning.fit_blend(labelled)], "on_logit double, on_second double, constant double")
 
-def blend_scores(spark, d, whole=False):
-    return learning.blend(scored_pairs(spark, d, whole), 0.679, 0.621, 0.0).select("s1_id", "rec_id", F.round("blended", 6).alias("blended"))
 
+def anchors(spark, d):
+    return learning.anchors(Stages(spark, d).scored())
 
-def anchors(spark, d, whole=False):
-    return learning.anchors(scored_pairs(spark, d, whole), confident=0.6, n=3)
 
+def stage2_group_stats(spark, d):
+    stats = learning.group_stats(Stages(spark, d).scored())
+    return stats.select("s1_id", "rec_id", "p", "g_max", "g_second", F.round("g_sum", 6).alias("g_sum"), "g_size", "g_strong", "g_rank", "g_before", "g_after")
 
-def stage2_group_stats(spark, d, whole=False):
-    return learning.group_stats(scored_pairs(spark, d, whole)).select("s1_id", "rec_id", "p", "g_max", F.round("g_sum", 6).alias("g_sum"), "g_size", "g_strong", "g_rank")
+
+# --- decisions and measures ----------------------------------------------------------------
+
+
+def _decided(spark, d, **how):
+    return m.decide(Stages(spark, d).scored(), THRESHOLD, **how).select(*KEY, "p")
+
+
+def _counts(spark, d):
+    s = Stages(spark, d)
+    return m.entity_counts(s.universe(), s.truth(), _decided(spark, d, unique=True))
+
+
+def entity_f05(spark, d):
+    return _counts(spark, d).withColumn("f05", F.round(m.f_half(), 6))
+
+
+def macro_f05(spark, d):
+    return m.macro_metrics(_counts(spark, d))
+
+
+def f05_loss(spark, d):
+    return m.loss_by_kind(_counts(spark, d))
+
+
+def threshold_sweep(spark, d):
+    swept = m.sweep(Stages(spark, d).lists(), [(x, None, False) for x in GRID])
+    return swept.select("threshold", "macro_f05", "n_pred")
+
+
+def threshold_search(spark, d):
+    return m.optimise_threshold(Stages(spark, d).lists())
+
+
+def uniqueness_gate(spark, d):
+    return m.uniqueness_gate(Stages(spark, d).lists(), THRESHOLD)
+
+
+def tune(spark, d):
+    """Threshold and uniqueness on the blended scores."""
+    s = Stages(spark, d)
+    return m.sweep(s.lists(s.blended().withColumn("p", F.col("blended"))), m.TUNED).select("threshold", "unique", "macro_f05", "n_pred")
+
+
+def _fold():
+    return learning.fold_of(F.col("s1_id"))
+
+
+def two_fold_gate(spark, d):
+    s = Stages(spark, d)
+    return m.two_fold_gate({"plain": s.lists(), "blend": s.lists(s.blended().withColumn("p", F.col("blended")))}, _fold())
+
+
+def stage2_gate(spark, d):
+    """The blend against the second-stage model, each half judged by a model of the other half."""
+    s = Stages(spark, d)
+    second = learning.stage2(learning.stage2_features(s.blended()), s.truth())
+    return m.two_fold_gate({"blend": s.lists(s.blended().withColumn("p", F.col("blended"))), "stage2": s.lists(second.withColumn("p", F.col("p2")))}, _fold(), 0.001)
+
+
+def overlay_decisions(spark, d):
+    """Plain decisions, with those of the entities that have second scores replaced by the blend's."""
+    s = Stages(spark, d)
+    blended = s.blended().withColumn("p", F.col("blended"))
+    new = m.decide(blended, THRESHOLD, unique=True).select(*KEY, "p")
+    return m.overlay(_decided(spark, d, unique=True), new, s.blended().where("second is not null").select("s1_id")).select(*KEY, "p")
+
+
+def error_attribution(spark, d):
+    """Misses by the step that lost them; false positives by whose record it is: another's, a look-alike with a near number, or nobody's."""
+    s = Stages(spark, d)
+    own, found = s.truth(), _decided(spark, d, unique=True)
+    pairs = s.compressed().select("s1_id", "rec_id", F.lit(1).alias("c"))
+    missed = own.join(found, ["s1_id", "rec_id"], "left_anti").join(pairs, ["s1_id", "rec_id"], "left").select(F.when(F.col("c").isNull(), "fn_blocking").otherwise("fn_matcher").alias("kind"))
+    close = s.features().select("s1_id", "rec_id", "k_num_close")
+    false = found.join(own.select("rec_id", F.col("s1_id").alias("owner")), "rec_id", "left").where("owner is null or owner <> s1_id").join(close, ["s1_id", "rec_id"], "left")
+    kinds = false.select(F.when(F.col("owner").isNotNull(), "fp_other_owner").when(F.col("k_num_close") > 0, "fp_sibling").otherwise("fp_unowned").alias("kind"))
+    return missed.unionByName(kinds).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def matching_results(spark, d):
+    """The decided matches of each S1 entity, from candidates over features and model to one owner a record."""
+    return records.id_lists(Stages(spark, d).sides()[0], _decided(spark, d, unique=True), "matched_entity_ids")
+
+
+# --- learned models ------------------------------------------------------------------------
 
 
 def gbt_matcher(spark, d):
-    return learning.gbt_matcher(pair_features(spark, d), truth(spark, d, whole=True))
+    s = Stages(spark, d)
+    return learning.gbt_matcher(s.features(), s.truth())
+
 
+def gbt_results(spark, d):
+    """The decided matches by the boosted model in place of the linear one."""
+    s = Stages(spark, d)
+    return records.id_lists(s.sides()[0], m.decide(gbt_matcher(spark, d), THRESHOLD, unique=True), "matched_entity_ids")
 
-def matching_results(spark, d, whole=False):
-    return records.id_lists(_sides(spark, d, whole)[0], _decided(spark, d, whole, unique=True), "matched_entity_ids")
+
+def model_benchmark(spark, d):
+    s = Stages(spark, d)
+    return learning.model_benchmark(s.features(), s.truth(), s.universe())
 
 
 _PLAIN = (
-    norm_record, phonetic_skeleton, joint_skeleton, tok4_tokens, joint_tokens, char_ngrams_df, url_tokens, name_key_counts, twin_counts, idf_vocab, reverse_top3, reverse_capped, candidate_union,
-    sim_jaro_winkler, sim_levenshtein, sim_indel_family, cheap_rank, compress_adaptive, pair_features, split_buckets, label_pairs, scored_pairs, entity_f05, macro_f05, candidate_metrics,
-    threshold_sweep, error_attribution, ce_pair_text, blend_scores, anchors, stage2_group_stats, gbt_matcher, matching_results,
+    raw_records, norm_record, legal_suffix, street_abbrev, digit_groups, countries, country_corpus, phonetic_skeleton, joint_skeleton, char_ngrams_df, url_tokens, name_key_counts, twin_counts,
+    block_sizes, idf_vocab, index_stats, reverse_top3, reverse_capped, reverse_counts, candidate_union, candidate_union_all, sim_jaro_winkler, sim_levenshtein, sim_indel_family, cheap_rank, cheap_rank_weighted,
+    compress_adaptive, candidate_pairs, budget_sweep, candidate_metrics, pair_features, split_buckets, split_files, first_queries, truth_in_corpus, training_truth, label_pairs, positive_rate, scored_pairs,
+    pair_quality, ce_pair_text, ce_train_set, second_scores, second_scores_rest, blend_scores, blend_fit, anchors, stage2_group_stats, entity_f05, macro_f05, f05_loss, threshold_sweep, threshold_search,
+    uniqueness_gate, tune, two_fold_gate, stage2_gate, overlay_decisions, error_attribution, matching_results, gbt_matcher, gbt_results, model_benchmark,
 )
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"block_{k}": partial(_block, kind=k) for k in ("exact_name", "core", "sorted", "postal_house")}
-QUERIES |= {
-    "topk_name_ngram": partial(_top, tokens=m.NAME, k=50, n=12),
-    "topk_addr_word": partial(_top, tokens=m.ADDR_WORDS, k=50, n=10),
-    "topk_addr_ngram": partial(_top, tokens=m.ADDR_GRAMS, k=20, n=10),
-    "topk_joint": partial(_top, tokens=m.JOINT, k=20, n=16),
-    "decide_threshold": _decided,
-    "decide_margin": partial(_decided, margin=0.1),
-    "decide_unique": partial(_decided, unique=True),
-}
-_MEASURED = (
-    "sim_jaro_winkler", "sim_levenshtein", "label_pairs", "scored_pairs", "decide_threshold", "decide_margin", "decide_unique", "entity_f05", "macro_f05", "candidate_metrics",
-    "threshold_sweep", "error_attribution", "ce_pair_text", "blend_scores", "anchors", "stage2_group_stats", "matching_results",
-)
-#: The SQL reads 24 words of a text (8 for the truth). Each query bound to it that reads
-#: addresses has a twin over whole texts, without SQL; those without SQL read whole texts.
-#: The SQL also scores reverse links only; the twins score the compressed candidate union.
-_CUT = ("norm_record", "phonetic_skeleton", "joint_skeleton", "tok4_tokens", "joint_tokens", "twin_counts", "reverse_top3", "reverse_capped", "candidate_union", "topk_addr_word", "topk_addr_ngram", "topk_joint")
-QUERIES |= {f"whole_{q}": partial(QUERIES[q], whole=True) for q in (*_CUT, *_MEASURED)}
+QUERIES |= {f"{n}_tokens": partial(_tokens, channel=c) for n, c in (("tok4", "R"), ("joint", "J"), ("addr_word", "E"), ("addr_ngram", "F"))}
+QUERIES |= {f"topk_{n}": partial(_top, channel=c) for n, c in (("name_ngram", "D"), ("addr_word", "E"), ("addr_ngram", "F"), ("joint", "J"))}
+QUERIES |= {f"feat_{n}": partial(_features, prefix=p) for n, p in (("name", ("n",)), ("address", ("a", "x")), ("retrieval", ("r", "rv", "s")), ("phonetic", ("k",)), ("corroboration", ("amb", "cor")))}
+QUERIES |= {"decide_threshold": _decided, "decide_margin": partial(_decided, margin=0.1), "decide_unique": partial(_decided, unique=True)}
