@@ -1,22 +1,25 @@
 """Embedding near-duplicates by randomised-rotation binary codes with correction factors.
 
-Unit vectors are rotated at random and reduced to signs. The stored factor, the inner
-product of the rotated vector with its own code, makes the code's inner product with
-another rotated vector an unbiased estimate of the cosine, with a confidence bound from
-the same factor. Pairs whose bound stays below the threshold are dropped; all others are
-recomputed exactly in double precision.
-
-Candidates come from bands of ``BAND_BITS`` sign bits over ``BANDS`` bands, drawn from as
-many rotations as needed: a pair at cosine 0.98 misses all bands with a probability below
-1e-6. Identical vectors of a label are folded first. A bucket of many vectors is cut
-into blocks, and pairs of blocks are compared by matrix products; each pair counts in
-the first band that holds it, and tasks return sums of links and a forest of the links,
-never the pairs.
+Unit vectors are rotated at random, as often as ``BANDS * BAND_BITS`` signs need. Stored for
+each vector: its signs, packed; the factor, the inner product of the rotated vector with its
+own signs; and the vector in steps of one byte with the length of what they miss. The signs
+of one vector and the bytes of another give an unbiased estimate of their cosine, once
+divided by the factor, and the same numbers bound its error. Pairs whose bound stays below
+the threshold are dropped there; vectors move only for those that are left, and their
+cosines are computed exactly in double precision.
+
+Candidates come from bands of ``BAND_BITS`` sign bits over ``BANDS`` bands: a pair at cosine
+0.98 misses all bands with a probability below 1e-6. Identical vectors of a label are folded
+first. A bucket of many vectors is cut into blocks, and pairs of blocks are compared by
+matrix products; each pair counts in the first band that holds it, and tasks return sums of
+links and a forest of the links, never the pairs.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null
 label or vec_id, link with nothing: n_links 0 and their own id as component (null for
-a null id, which is kept). Repeated rows link with each other; an empty table gives an
-empty one; other columns are ignored. Vectors of unequal length link with nothing.
+a null id, which is kept; kept is true for both). Repeated rows link with each other; an id
+with several vectors is one member of its component; an empty table gives an empty one;
+other columns are ignored, whatever their names. Vectors of unequal length link with
+nothing; a very long vector is coded like any other, with at least one rotation.
 """
 
 from __future__ import annotations
@@ -24,17 +27,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize, tidy
 from .components import UnionFind, components
 
 BANDS = 48
 BAND_BITS = 20
-BLOCK = 512
+BLOCK = 1024
+SIGNS = BANDS * BAND_BITS
 SIGMAS = 6.0
 _ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
 
@@ -52,83 +55,156 @@ def _unit(column: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def rotated(unit: np.ndarray) -> np.ndarray:
+    return unit @ rotations(unit.shape[1], SIGNS)[:, :SIGNS]
+
+
+CODED = "rid long, label long, embedding array<double>, copies long, dim int, keys array<int>, signs binary, factor double, steps binary, step double, missed double"
+
+
 def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     power = np.int64(1) << np.arange(BAND_BITS, dtype=np.int64)
-    for batch in batches:
-        vectors = batch.column(2).to_pylist()
-        keys = np.zeros((len(vectors), BANDS), np.int32)
-        sizes = np.array([len(v) for v in vectors])
-        for dim in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == dim)
-            bits = _unit([vectors[i] for i in rows]) @ rotations(dim, BANDS * BAND_BITS)[:, : BANDS * BAND_BITS] > 0
-            keys[rows] = (bits.reshape(len(rows), BANDS, BAND_BITS) * power).sum(2)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int32()))], names=[*batch.schema.names, "keys"])
+    for whole in batches:
+        for batch in (whole.slice(lo, 2000) for lo in range(0, whole.num_rows, 2000)):
+            vectors = batch.column(2).to_pylist()
+            sizes = np.array([len(v) for v in vectors])
+            n = len(vectors)
+            keys, factor, step, missed = np.zeros((n, BANDS), np.int32), np.zeros(n), np.zeros(n), np.zeros(n)
+            signs, steps = [b""] * n, [b""] * n
+            for dim in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == dim)
+                unit = _unit([vectors[i] for i in rows])
+                turned = rotated(unit)
+                bits = turned > 0
+                keys[rows] = (bits.reshape(len(rows), BANDS, BAND_BITS) * power).sum(2)
+                factor[rows] = np.abs(turned).sum(1) / np.sqrt(dim)
+                step[rows] = np.abs(unit).max(1) / 127
+                near = np.rint(unit / step[rows, None])
+                missed[rows] = np.linalg.norm(unit - near * step[rows, None], axis=1)
+                packed, small = np.packbits(bits, axis=1), near.astype(np.int8)
+                for k, i in enumerate(rows.tolist()):
+                    signs[i], steps[i] = packed[k].tobytes(), small[k].tobytes()
+            made = [pa.array(sizes, pa.int32()), pa.array(list(keys), pa.list_(pa.int32())), pa.array(signs, pa.binary()), pa.array(factor), pa.array(steps, pa.binary()), pa.array(step), pa.array(missed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[f.split()[0] for f in CODED.split(", ")])
 
 
 class Codes:
-    """Sign codes with correction factors of unit vectors, for cosine bounds."""
-
-    def __init__(self, unit: np.ndarray, rotation: np.ndarray):
-        self.rotated = unit @ rotation
-        self.signs = np.where(self.rotated > 0, 1.0, -1.0) / np.sqrt(rotation.shape[0])
-        self.factor = (self.signs * self.rotated).sum(1)
-
-    def upper(self, other: Codes) -> np.ndarray:
-        """Upper confidence bounds of the cosines of all pairs."""
-        dim = self.signs.shape[1]
-        spread = np.sqrt(np.maximum(1 - self.factor**2, 0)) / self.factor / np.sqrt(max(dim - 1, 1))
-        return self.signs @ other.rotated.T / self.factor[:, None] + SIGMAS * spread[:, None]
-
-
-def _compare(unit: np.ndarray, keys: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (rows, rows) of left and right that meet first in this band."""
-    same = left is right
-    seen_a, seen_b = keys[left], keys[right]
-    first = np.ones((len(left), len(right)), bool)
-    for b in range(band):
-        first &= seen_a[:, b][:, None] != seen_b[:, b][None, :]
-    if same:
+    """Stored codes of vectors of one length, with bounds on the cosines of pairs."""
+
+    def __init__(self, dim: int, signs: list[bytes], factor: np.ndarray, steps: list[bytes], step: np.ndarray, missed: np.ndarray):
+        self.dim, self.factor, self.missed = dim, factor, missed
+        self.bits = np.unpackbits(np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1), axis=1, count=SIGNS)
+        self.near = np.frombuffer(b"".join(steps), np.int8).reshape(len(steps), dim) * step[:, None]
+
+    def bands(self, rows: np.ndarray) -> np.ndarray:
+        """The bits of each band as one number."""
+        return (self.bits[rows].reshape(len(rows), BANDS, BAND_BITS) * (np.int64(1) << np.arange(BAND_BITS))).sum(2)
+
+    def estimates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Estimated cosines: signs of the left vectors, rotated bytes of the right ones, over the factors."""
+        turned = rotated(self.near[right]).astype(np.float32)
+        signs = (self.bits[left].astype(np.float32) * 2 - 1) / np.float32(np.sqrt(self.dim))
+        return signs @ turned.T / self.factor[left, None]
+
+    def open(self, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+        """Pairs whose cosine may reach the threshold, by the confidence bound of the estimate."""
+        turns = SIGNS / self.dim
+        mean = np.clip(self.factor[left] / turns, 1e-9, 1.0)
+        # The error comes from the part of a vector that stands off the other one.
+        spread = np.sqrt((1 - mean**2) / mean**2 * (1 - threshold**2) / (max(self.dim - 1, 1) * max(turns, 1.0)))
+        slack = SIGMAS * spread[:, None] + self.missed[right][None, :] / mean[:, None] + 1e-4
+        return self.estimates(left, right) + slack >= threshold
+
+
+def undecided(codes: Codes, band: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows, rows) of left and right that meet first in this band and may be linked."""
+    a, b = codes.bands(left), codes.bands(right)
+    first = a[:, band][:, None] == b[:, band][None, :]
+    for k in range(band):
+        first &= a[:, k][:, None] != b[:, k][None, :]
+    if left is right:
         first &= np.tri(len(left), k=-1, dtype=bool).T
-    if not first.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    dim = unit.shape[1]
-    rotation = rotations(dim, dim)[:, :dim]
-    first &= Codes(unit[left], rotation).upper(Codes(unit[right], rotation)) >= threshold
+    if first.any():
+        first &= codes.open(left, right, threshold)
     i, j = np.nonzero(first)
-    if len(i) * 8 > len(left) * len(right):
-        good = (unit[left] @ unit[right].T)[i, j] >= threshold
-    else:
-        good = np.einsum("ij,ij->i", unit[left[i]], unit[right[j]]) >= threshold
-    return left[i[good]], right[j[good]]
+    return left[i], right[j]
+
+
+GROUP = ("label", "band", "key", "x", "y", "dim")
+
+
+def _groups(table: pa.Table) -> Iterator[tuple[int, int, int, pa.Table]]:
+    """(band, x, y, rows) of each pair of blocks."""
+    table = table.sort_by([(c, "ascending") for c in (*GROUP, "rid")]).combine_chunks()
+    new = np.zeros(max(table.num_rows - 1, 0), bool)
+    for c in GROUP:
+        v = table[c].to_numpy()
+        new |= v[1:] != v[:-1]
+    cut = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        if b - a > 1:
+            rows = table.slice(a, b - a)
+            yield rows["band"][0].as_py(), rows["x"][0].as_py(), rows["y"][0].as_py(), rows
+
+
+def _sides(rows: pa.Table, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+    block = rows["block"].to_numpy()
+    left = np.flatnonzero(block == x)
+    return left, left if x == y else np.flatnonzero(block == y)
+
+
+def _codes(rows: pa.Table) -> Codes:
+    plain = lambda c: rows[c].to_numpy()
+    return Codes(rows["dim"][0].as_py(), rows["signs"].to_pylist(), plain("factor"), rows["steps"].to_pylist(), plain("step"), plain("missed"))
+
+
+MEMBER = "rid long, label long, band int, key int, block int, x int, y int"
+
+
+def _sifter(threshold: float):
+    """Members of a pair of blocks that some pair leaves undecided."""
+    names = [f.split()[0] for f in MEMBER.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for band, x, y, rows in _groups(table):
+            i, j = undecided(_codes(rows), band, *_sides(rows, x, y), threshold)
+            if len(i):
+                out.append(rows.take(pa.array(np.union1d(i, j))).select(names))
+        give_back()
+        return pa.concat_tables(out) if out else table.select(names).slice(0, 0)
+
+    return run
 
 
 def _linker(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
         out = {"id": [], "other": [], "links": []}
-        for (_, band, _, x, y), g in frame.groupby(["label", "band", "key", "x", "y"], sort=False):
-            for _, h in g.groupby(g["embedding"].map(len), sort=False):
-                if len(h) < 2:
-                    continue
-                unit, keys = _unit(h["embedding"].tolist()), np.array(h["keys"].tolist())
-                block, ids, copies = h["block"].to_numpy(), h["rid"].to_numpy(), h["copies"].to_numpy()
-                left = np.flatnonzero(block == x)
-                right = left if x == y else np.flatnonzero(block == y)
-                i, j = _compare(unit, keys, int(band), left, right, threshold)
-                if not len(i):
-                    continue
-                sums = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                hit = np.flatnonzero(sums)
-                out["id"].append(ids[hit])
-                out["other"].append(np.full(len(hit), -1))
-                out["links"].append(sums[hit].astype(np.int64))
-                local = UnionFind(len(ids))
-                forest = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if local.join(a, b)] if len(i) < 4 * len(ids) else _forest(i, j, local)
-                a, b = np.array(forest).T
-                out["id"].append(ids[a])
-                out["other"].append(ids[b])
-                out["links"].append(np.zeros(len(a), np.int64))
+        for band, x, y, rows in _groups(table):
+            i, j = undecided(_codes(rows), band, *_sides(rows, x, y), threshold)
+            if not len(i):
+                continue
+            unit, ids, copies = _unit(rows["embedding"].to_pylist()), rows["rid"].to_numpy(), rows["copies"].to_numpy()
+            good = np.zeros(len(i), bool)
+            for lo in range(0, len(i), 50_000):
+                part = slice(lo, lo + 50_000)
+                good[part] = np.einsum("ij,ij->i", unit[i[part]], unit[j[part]]) >= threshold
+            i, j = i[good], j[good]
+            if not len(i):
+                continue
+            sums = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+            hit = np.flatnonzero(sums)
+            out["id"].append(ids[hit])
+            out["other"].append(np.full(len(hit), -1))
+            out["links"].append(sums[hit].astype(np.int64))
+            local = UnionFind(len(ids))
+            forest = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if local.join(a, b)] if len(i) < 4 * len(ids) else _forest(i, j, local)
+            a, b = np.array(forest).T
+            out["id"].append(ids[a])
+            out["other"].append(ids[b])
+            out["links"].append(np.zeros(len(a), np.int64))
         cols = {k: np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for k, v in out.items()}
+        give_back()
         return pa.table({**cols, "is_edge": cols["links"] == 0})
 
     return run
@@ -147,6 +223,12 @@ def _forest(i: np.ndarray, j: np.ndarray, local: UnionFind) -> list[tuple[int, i
     return out
 
 
+def _grouped(members: DataFrame, coded: DataFrame):
+    """Members with what is stored of them, some thousands to a group of pairs of blocks."""
+    groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // 4000))
+    return members.join(coded, "rid").withColumn("grp", F.pmod(F.xxhash64("label", "band", "key", "x", "y"), F.lit(groups))).groupBy("grp")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     x = F.col("embedding")
@@ -155,15 +237,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), x.cast("array<double>").alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
     valid = rows.where("fine")
     reps = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("copies"))
-    coded = reps.select("rid", "label", "embedding", "copies").mapInArrow(_coder, "rid long, label long, embedding array<double>, copies long, keys array<int>")
-    coded = materialize(coded, "codes")
+    coded = materialize(reps.select("rid", "label", "embedding", "copies").mapInArrow(tidy(_coder), CODED), "codes")
     banded = coded.select("rid", "label", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("label", "band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = materialize(banded.join(shared, ["label", "band", "key"]).withColumn("block", F.pmod(F.xxhash64("rid", "band"), F.col("blocks")).cast("int")), "members")
-    groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // 4000))
+    shared = materialize(banded.groupBy("label", "band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    members = banded.join(shared, ["label", "band", "key"]).withColumn("block", F.pmod(F.xxhash64("rid", "band"), F.col("blocks")).cast("int"))
     paired = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rid", "label", "band", "key", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
-    full = paired.join(coded.select("rid", "embedding", "copies", "keys"), "rid").withColumn("grp", F.pmod(F.xxhash64("label", "band", "key", "x", "y"), F.lit(groups)))
-    found = materialize(full.groupBy("grp").applyInArrow(_linker(threshold), "id long, other long, links long, is_edge boolean"), "links")
+    paired = materialize(paired, "members")
+    code = ["dim", "signs", "factor", "steps", "step", "missed"]
+    likely = materialize(_grouped(paired, coded.select("rid", *code)).applyInArrow(_sifter(threshold), MEMBER), "likely")
+    found = materialize(_grouped(likely, coded.select("rid", "embedding", "copies", *code)).applyInArrow(_linker(threshold), "id long, other long, links long, is_edge boolean"), "links")
     links = found.where("not is_edge").groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.where("is_edge").select(F.col("id").alias("a"), F.col("other").alias("b")))
     # Classes of identical vectors with what they link to; singles need no join back by vector.
@@ -171,3 +253,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     out = rows.withColumn("label", F.when(F.col("fine"), F.col("label"))).join(state, ["label", "embedding"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def near_vectors_sql(threshold: float = 0.98) -> str:
+    """The same rows in DuckDB SQL, from all pairs of a label."""
+    return f"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as x from embeddings
+  where label is not null and vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= {threshold}),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+n as (select a as vec_id, count(*) as n from links group by 1),
+least as (select a as vec_id, min(b) as c from reach group by 1)
+select e.vec_id, coalesce(n.n, 0) as n_links, least(e.vec_id, coalesce(l.c, e.vec_id)) as component_id, e.vec_id <= coalesce(l.c, e.vec_id) as kept
+from embeddings e left join n on n.vec_id = e.vec_id left join least l on l.vec_id = e.vec_id
+"""

@@ -344,3 +344,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     out = sketches.select("doc_id", "n_shingles", "set_key").join(class_of, "set_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates_sql(width: int = 3, num: int = 85, den: int = 100) -> str:
+    """The same rows in DuckDB SQL, from the words themselves."""
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < {width} then array_to_string(w, ' ') else unnest(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) end as x from w where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where {den} * both_ >= {num} * (na.n + nb.n - both_)),
+step as (select a, b from links union select b, a from links),
+reach as (select a, b from step union select r.a, s.b from reach r join step s on s.a = r.b),
+least as (select a as doc_id, min(b) as c from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(l.c, d.doc_id)) as component_id, d.doc_id <= coalesce(l.c, d.doc_id) as kept
+from documents d left join n on n.doc_id = d.doc_id left join least l on l.doc_id = d.doc_id
+"""

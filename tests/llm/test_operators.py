@@ -362,6 +362,30 @@ def test_embed_dedup(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embed_recall_and_bounds(spark, monkeypatch):
+    """Planted pairs just at and above the threshold are all found; pairs below are none; codes drop most others."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    n, dim = 1200, 64
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(n, dim))
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = np.repeat([0.9, 0.97, 0.9799, 0.9801, 0.985, 0.995], n // 6)[:, None]
+    y = cos * x + np.sqrt(1 - cos**2) * off
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i].n_links for i in range(n)] == (cos[:, 0] >= 0.98).astype(int).tolist()
+    assert all(got[n + i].component_id == (i if cos[i, 0] >= 0.98 else n + i) for i in range(n))
+    table = pa.Table.from_batches(list(embed_dedup._coder(iter([pa.record_batch([pa.array([r[0] for r in rows]), pa.array([1] * 2 * n), pa.array([r[1] for r in rows]), pa.array([1] * 2 * n)], names=["rid", "label", "embedding", "copies"])]))))
+    codes = embed_dedup._codes(table)
+    left, right = np.arange(n), np.arange(n, 2 * n)
+    open_, estimate = np.diag(codes.open(left, right, 0.98)), np.diag(codes.estimates(left, right))
+    assert open_[cos[:, 0] >= 0.98].all() and not open_[cos[:, 0] == 0.9].any()
+    assert abs((estimate - cos[:, 0]).mean()) < 0.002  # unbiased
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK_ROWS", 40)
     df, rows = vectors(spark)
@@ -392,6 +416,19 @@ def test_stages_keep_columns(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL)))
+def test_against_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    found = con.execute(queries.ORACLE_SQL[name])
+    at = [[c[0] for c in found.description].index(c) for c in cols]
+    assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == sorted(repr([r[i] for i in at]) for r in found.fetchall())
+
+
 def test_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
