@@ -67,7 +67,7 @@ def to_ascii(c: Column) -> Column:
     """Lower case, with letters of other scripts written in Latin ones; unknown ones are kept."""
     low = F.lower(c)
     letters = F.expr("str_to_map('" + ",".join(f"{k}:{v}" for k, v in LETTERS.items()) + "', ',', ':')")
-    spelled = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
+    spelled = F.array_join(F.transform(F.split(low, ""), lambda x: F.when(x > F.lit("\x7f"), F.coalesce(F.try_element_at(letters, x), x)).otherwise(x)), "")
     return F.when(low.rlike("[^\\x00-\\x7f]"), spelled).otherwise(low)
 
 

@@ -51,22 +51,23 @@ def _close(a: Column, b: Column) -> Column:
     return F.exists(x, lambda i: F.exists(y, lambda j: F.abs(i.cast("long") - j.cast("long")).between(1, 20)))
 
 
-def pair_features(pairs: DataFrame, s1: DataFrame, records: DataFrame, wanted: list[str] = FEATURE_NAMES) -> DataFrame:
-    """country, s1_id, rec_id and the features of compressed candidates (with texts and rank score)."""
-    names = s1.groupBy(F.col("country_norm").alias("country"), t.name_key(F.col("name_core")).alias("key")).agg(F.count(F.lit(1)).alias("count"))
-    twin = t.twin_key(F.col("name_core"), F.col("addr_street"))
-    twins = records.select(F.col("entity_id").alias("rec_id"), (F.count(F.lit(1)).over(Window.partitionBy("country_norm", twin)) - 1).alias("cor_global_twin"))
-    kinds = {k: lambda xs, k=k: F.filter(xs, lambda x: x.startswith(k + ":")) for k in "nacdbp"}
-    base = pairs.join(twins, "rec_id").withColumns(
-        {
-            "qt": t.tok4(F.col("q_name_core"), F.col("q_addr_street")), "ct": t.tok4(F.col("c_name_core"), F.col("c_addr_street")),
-            "qn": F.array_distinct(t.tokens(F.col("q_name_core"))), "cn": F.array_distinct(t.tokens(F.col("c_name_core"))),
-            "qa": F.array_distinct(t.tokens(F.col("q_addr_street"))), "ca": F.array_distinct(t.tokens(F.col("c_addr_street"))),
-            "qnum": t.numbers(F.col("q_addr_street")), "cnum": t.numbers(F.col("c_addr_street")),
-            "q_key": t.name_key(F.col("q_name_core")), "c_key": t.name_key(F.col("c_name_core")), "twin": t.twin_key(F.col("c_name_core"), F.col("c_addr_street")),
-        }
+def signatures(records: DataFrame) -> DataFrame:
+    """What features compare, computed once a record: tokens, word sets, numbers and keys."""
+    return records.select(
+        "entity_id", "country_norm", "tier", t.tok4(F.col("name_core"), F.col("addr_street")).alias("t"), F.array_distinct(t.tokens(F.col("name_core"))).alias("n"),
+        F.array_distinct(t.tokens(F.col("addr_street"))).alias("a"), t.numbers(F.col("addr_street")).alias("num"), t.name_key(F.col("name_core")).alias("_key"), t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin"),
     )
+
+
+def pair_features(pairs: DataFrame, signed: DataFrame, wanted: list[str] = FEATURE_NAMES) -> DataFrame:
+    """country, s1_id, rec_id and the features of compressed candidates (with texts and rank score), from ``signatures``."""
+    names = signed.where("tier = 1").groupBy(F.col("country_norm").alias("country"), F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("count"))
     count = lambda side: names.select("country", F.col("key").alias(side + "_key"), F.col("count").alias(side + "_count"))
+    records = signed.where("tier > 1").withColumn("cor_global_twin", F.count(F.lit(1)).over(Window.partitionBy("country_norm", "twin")) - 1)
+    kinds = {k: lambda xs, k=k: F.filter(xs, lambda x: x.startswith(k + ":")) for k in "nacdbp"}
+    left = signed.where("tier = 1").select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias("q" + c) for c in ("t", "n", "a", "num", "_key")])
+    right = records.select(F.col("entity_id").alias("rec_id"), *[F.col(c).alias("c" + c) for c in ("t", "n", "a", "num", "_key")], "twin", "cor_global_twin")
+    base = pairs.join(left, "s1_id").join(right, "rec_id")
     base = base.join(count("q"), ["country", "q_key"], "left").join(count("c"), ["country", "c_key"], "left")
     own = Window.partitionBy("country", "s1_id")
     extra = F.array_except("cnum", "qnum")

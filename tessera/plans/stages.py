@@ -85,7 +85,7 @@ class Stages:
         return self._once("compressed", lambda: m.compress(self.ranked()))
 
     def features(self) -> DataFrame:
-        return self._once("features", lambda: features.pair_features(self.compressed(), *self.sides()))
+        return self._once("features", lambda: features.pair_features(self.compressed(), self._once("signatures", lambda: features.signatures(self.records()))))
 
     def scored(self) -> DataFrame:
         """country, s1_id, rec_id, score, p of the compressed candidates of all channels."""
