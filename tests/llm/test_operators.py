@@ -388,14 +388,32 @@ def test_embed_recall_and_bounds(spark, monkeypatch):
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk_search, "TILE_ROWS", 2)
+    monkeypatch.setattr(topk_search, "SAMPLE", 30)
     df, rows = vectors(spark)
-    q = {i: np.floor(256 * np.array(v, np.float64)).astype(int) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()}
+    df = df.unionByName(df.where("vec_id in (7, 8, 50)"))  # repeated rows
+    rows = rows + [r for r in rows if r[0] in (7, 8, 50)]
+    q = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()]
     want = []
-    for i in (k for k in q if k % 50 == 0):
-        best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
+    for i, x in {i: x for i, x in q if i % 50 == 0}.items():
+        best = sorted((-int(x @ y), j) for j, y in q if j != i)[:5]
         want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
     assert sorted(tuple(r) for r in topk_search.top_k(df).collect()) == sorted(want)
     assert topk_search.top_k(df.limit(0)).count() == 0
+    assert topk_search.top_k(df.limit(3)).count() <= 10
+
+
+def test_impact_index_stops_on_proof():
+    rng = np.random.default_rng(2)
+    x = np.floor(256 * rng.normal(size=(3000, 32)) / 6).astype(np.int64)
+    index = topk_search.ImpactIndex(x)
+    read = 0
+    for i, rows, score in index.search(x[:20], np.eye(20, 3000, dtype=bool), np.full(20, -np.inf), 5):
+        exact = x @ x[i]
+        exact[i] = -(1 << 60)
+        assert set(np.sort(exact)[-5:]) <= set(score.tolist()) and (score == (x @ x[i])[rows]).all()
+        read += len(rows)
+    assert read < 0.2 * 20 * 3000
 
 
 def test_components(spark):
