@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, materialize
 
 BLOCK_ROWS = 4096
 TILE_ROWS = 2048
@@ -143,7 +143,7 @@ def _searcher(k: int, held):
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score; the queries are the rows whose id ``every`` divides."""
     spark = vectors.sparkSession
-    rows = quantised(vectors, scale).groupBy("vec_id", "q").agg(F.count(F.lit(1)).alias("copies"))
+    rows = materialize(quantised(vectors, scale).groupBy("vec_id", "q").agg(F.count(F.lit(1)).alias("copies")), "quantised")
     asks = F.col("vec_id") % every == 0
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(asks.cast("long")).alias("asked")).first()
     blocks, tiles = max(1, -(-n["n"] // BLOCK_ROWS)), max(1, -(-(n["asked"] or 0) // TILE_ROWS))
