@@ -25,8 +25,10 @@ def forget(spark: SparkSession) -> None:
 
 
 class Stages:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    """``raw``: raw records with tier and owner, where they are not those of the order tables in ``sf_dir``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, raw: DataFrame | None = None):
+        self.spark, self.sf_dir, self.raw = spark, sf_dir, raw
 
     def _once(self, name: str, make) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
@@ -36,7 +38,7 @@ class Stages:
 
     def records(self) -> DataFrame:
         """Normalised records with tier and owner."""
-        return self._once("records", lambda: records.normalize(records.business_records(self.spark, self.sf_dir)))
+        return self._once("records", lambda: records.normalize(records.business_records(self.spark, self.sf_dir) if self.raw is None else self.raw))
 
     def sides(self) -> tuple[DataFrame, DataFrame]:
         rec = self.records()
@@ -48,7 +50,8 @@ class Stages:
     def truth(self) -> DataFrame:
         """country, s1_id, rec_id: the records whose owner is in the clean register of their country."""
         s1, rec = self.sides()
-        owned = rec.where("owner is not null").select(F.col("country_norm").alias("country"), F.concat(F.lit("S1_"), "owner").alias("s1_id"), F.col("entity_id").alias("rec_id"))
+        owner = F.concat(F.lit("S1_"), "owner") if self.raw is None else F.col("owner")
+        owned = rec.where("owner is not null").select(F.col("country_norm").alias("country"), owner.alias("s1_id"), F.col("entity_id").alias("rec_id"))
         return owned.join(s1.select(F.col("country_norm").alias("country"), F.col("entity_id").alias("s1_id")), ["country", "s1_id"], "left_semi")
 
     def tokens(self) -> DataFrame:

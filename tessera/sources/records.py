@@ -49,6 +49,16 @@ SUFFIXES = (" Pvt. Ltd.", " Inc", " LLC", " Company", "")
 STREETS = ("Road", "Street", "Avenue", "Lane", "Park Road, Suite 5")
 
 
+def tsv_records(spark: SparkSession, s1: str, others: list[str], truth: str | None = None) -> DataFrame:
+    """Raw records of the clean register (tier 1) and other sources (tiers 2 and on), with the owner that the truth names."""
+    parts = [read_tsv(spark, p).withColumn("tier", F.lit(tier)) for tier, p in enumerate([s1, *others], 1)]
+    raw = reduce(DataFrame.unionByName, parts)
+    if truth is None:
+        return raw.withColumn("owner", F.lit(None).cast("string"))
+    own = read_truth(spark, truth).where("rec_id is not null").groupBy(F.col("rec_id").alias("entity_id")).agg(F.min("s1_id").alias("owner"))
+    return raw.join(own, "entity_id", "left")
+
+
 def _choice(values: tuple[str, ...], key: str) -> str:
     return "case " + " ".join(f"when {key} % {len(values)} = {i} then '{v}'" for i, v in enumerate(values)) + " end"
 

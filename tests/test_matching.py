@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from tessera import __main__ as command
 from tessera import scratch
 from tessera.functions import similarity as sim
 from tessera.functions import text as t
@@ -280,6 +281,29 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "n")).count() == rec.count()
 
 
+def test_command_line_over_files(spark, tmp_path):
+    """TSV files in, candidate and match lists and reports out, in the order of the register."""
+    raw = records.business_records(spark, SF).collect()
+    columns = ("entity_id", "business_name", "business_address", "country")
+    for tier in (1, 2, 3):
+        lines = ["\t".join(columns)] + ["\t".join(r[c] for c in columns) for r in raw if r.tier == tier]
+        (tmp_path / f"s{tier}.tsv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    owned = defaultdict(list)
+    for r in raw:
+        if r.tier > 1 and r.owner is not None:
+            owned[f"S1_{r.owner}"].append(r.entity_id)
+    (tmp_path / "truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"{k}\t{','.join(v)}\n" for k, v in owned.items()), encoding="utf-8")
+    files = (str(tmp_path / "s1.tsv"), [str(tmp_path / "s2.tsv"), str(tmp_path / "s3.tsv")])
+    command.run(spark, "diagnose", *files, str(tmp_path / "out"), str(tmp_path / "truth.tsv"))
+    got = {r.s1_id: r.n for r in records.read_truth(spark, str(tmp_path / "out" / "matching_results")).groupBy("s1_id").agg(F.count("rec_id").alias("n")).collect()}
+    want = {r.source1_entity_id: len([x for x in r.matched_entity_ids.split(",") if x]) for r in catalog.QUERIES["matching_results"](spark, SF).collect()}
+    assert got == want
+    report = spark.read.json(str(tmp_path / "out" / "match_report")).first()
+    assert report.macro_f05 == catalog.QUERIES["macro_f05"](spark, SF).first().macro_f05
+    command.run(spark, "normalize", *files, str(tmp_path / "n"))
+    assert spark.read.parquet(str(tmp_path / "n" / "norm")).count() == len(raw)
+
+
 def test_scratch_is_refused_on_a_cluster(spark):
     class Unset:
         @staticmethod
