@@ -52,7 +52,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_token_counts, op3_suffix_dedup, op4_mix_sources, op5_pack, op6_minhash, op7_embed_dedup, op8_shard, op9_toxicity, op10_token_files)}
 ORACLE_SQL = {
     "op1_topk_search": topk_search.top_k_sql(),
+    "op3_suffix_dedup": suffix_dedup.suffix_sql(),
     "op4_mix_sources": mixing.mixing_sql(),
     "op6_minhash": minhash.near_duplicates_sql(),
     "op7_embed_dedup": embed_dedup.near_vectors_sql(),
+    "op8_shard": sharding.sharding_sql(),
 }

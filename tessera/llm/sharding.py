@@ -1,6 +1,6 @@
 """Sharding by sampled splitters, in DataFrame functions only.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side and a
+Rows are ordered by (60 bits of the text's md5, doc_id), so equal texts lie side by side and a
 shard boundary falls inside such a group only where it must. A sample of keys drawn
 with a probability proportional to the row's bytes gives quantile boundaries; records
 fall into the ranges between them. Ranges with too many rows are subdivided in the same
@@ -68,7 +68,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, keep: list[str] | None =
         *[F.col(c).alias(a) for c, a in zip(names, safe, strict=True)],
         (utf8_size(text) + 1).alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias("_h"),
+        F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long").alias("_h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k"),
     )
     keyed = materialize(keyed, "shard-keys")
@@ -95,3 +95,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, keep: list[str] | None =
     # One row a shard.
     first = F.broadcast(numbered.groupBy("shard").agg(F.min("_row").alias("_first")))
     return numbered.join(first, "shard").select(*[F.col(a).alias(c) for c, a in zip(names, safe, strict=True)], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharding_sql(shards: int = 16) -> str:
+    """The same rows in DuckDB SQL; the crc is taken byte by byte from a table of its own polynomial."""
+    return f"""
+with t as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end) as c from range(256) r(i))),
+b as (select doc_id, coalesce(text, '') as text, flatten(list_transform(string_split(coalesce(text, ''), ''), lambda c: case when unicode(c) < 128 then [unicode(c)] when unicode(c) < 2048 then [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]
+  when unicode(c) < 65536 then [224 + (unicode(c) >> 12), 128 + (unicode(c) >> 6 & 63), 128 + (unicode(c) & 63)] else [240 + (unicode(c) >> 18), 128 + (unicode(c) >> 12 & 63), 128 + (unicode(c) >> 6 & 63), 128 + (unicode(c) & 63)] end)) as b from documents),
+k as (select doc_id, strlen(text) + 1 as size, case when text = '' then 0 else xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(b, lambda x: x::bigint)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) end as text_crc32,
+  ('0x' || substr(md5(text), 1, 15))::bigint as h from b, t),
+o as (select *, sum(size) over w as upto, sum(size) over () as total, row_number() over w as row from k window w as (order by h, doc_id nulls first, text_crc32 rows unbounded preceding)),
+s as (select *, least({shards - 1}, ((2 * upto - size) * {shards}) // (2 * total))::int as shard from o)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row - min(row) over (partition by shard) as slot, null::int as grown_shard from s
+"""

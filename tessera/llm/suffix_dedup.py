@@ -578,3 +578,19 @@ def cut_repeats(docs: DataFrame, characters: bool = True) -> DataFrame:
 def suffix_digest(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut_repeats(rows, characters=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def suffix_sql(length: int = LENGTH) -> str:
+    """The same rows in DuckDB SQL, from every string of the length (as hex digits, two a byte)."""
+    return f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) as m from (select doc_id, h, unnest(range(0, length(h) // 2 - {length - 1})) as i from d where length(h) >= {2 * length})),
+twice as (select doc_id, i from (select *, count(*) over (partition by m) as c from w) where c > 1),
+runs as (select *, sum(fresh::int) over (partition by doc_id order by i) as run from (select *, coalesce(i - lag(i) over (partition by doc_id order by i) > {length}, true) as fresh from twice)),
+cut as (select doc_id, run, min(i) as a, max(i) + {length} as b from runs group by 1, 2),
+kept as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from cut union all select doc_id, max(b), 1099511627776::bigint from cut group by 1),
+rest as (select k.doc_id, string_agg(substr(d.h, 2 * k.a + 1, 2 * (least(k.b, length(d.h) // 2) - k.a)), '' order by k.a) as h from kept k join d on d.doc_id = k.doc_id group by 1),
+sums as (select doc_id, sum(b - a)::bigint as gone, count(*) as n from cut group by 1)
+select d.doc_id, length(d.h) // 2 as n_bytes, coalesce(s.gone, 0) as n_removed, coalesce(s.n, 0) as n_spans, sha256(unhex(case when s.n is null then d.h else r.h end)) as kept_sha256
+from d left join sums s on s.doc_id = d.doc_id left join rest r on r.doc_id = d.doc_id
+"""
