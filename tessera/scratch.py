@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a stage table is written: shuffle files go with their query, and Arrow batches stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -68,17 +69,18 @@ def _at_exit(spark: SparkSession, pid: int) -> None:
 
 
 @contextmanager
-def _releasing(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query that ends here are deleted with it, by Spark's own setting."""
-    before = spark.conf.get(_RELEASE, None)
-    spark.conf.set(_RELEASE, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_RELEASE)
-        else:
-            spark.conf.set(_RELEASE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
@@ -90,7 +92,7 @@ def materialize(df: DataFrame, name: str, path: str | None = None, by: str | Non
     path = path or table_path(spark, name)
     schema = df.schema
     writer = df.write.option("compression", "zstd")
-    with _releasing(spark):
+    with _writing(spark):
         (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
