@@ -19,8 +19,8 @@ import pyarrow as pa
 
 from .textvec import LOWER, WHITE, chunks, span_hashes
 
-MEMO_UNITS = 1_200_000
-KEPT_UNITS = 200_000
+MEMO_UNITS = 2_500_000
+KEPT_UNITS = 2_400_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
