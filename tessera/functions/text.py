@@ -161,11 +161,12 @@ def name_skeletons(name: Column) -> Column:
     return F.transform(F.filter(tokens(name), lambda t: F.length(t) > 1), skeleton)
 
 
-def tok4(name: Column, addr: Column) -> Column:
-    """The six kinds of tokens of a name and an address, distinct and prefixed."""
+#: The kinds of tokens of ``tok4``, each with its prefix.
+KINDS = ("n", "a", "c", "d", "b", "p")
+
 
-    def tag(p: str, xs: Column) -> Column:
-        return F.transform(xs, lambda x: F.concat(F.lit(p), x))
+def tok4_kinds(name: Column, addr: Column) -> Column:
+    """The six kinds of tokens of a name and an address, each a distinct list without its prefix."""
 
     def kinds(v: Column) -> Column:
         names, parts, units = v["names"], v["parts"], v["units"]
@@ -173,11 +174,21 @@ def tok4(name: Column, addr: Column) -> Column:
         codes = F.filter(parts, lambda t: ~t.rlike("^[a-z]+$") & ~t.rlike("^[0-9]+$"))
         ends = F.slice(units, 2, 1 << 20)
         bigrams = F.filter(F.zip_with(units, ends, lambda x, y: F.concat(x, F.lit("_"), y)), lambda x: x.isNotNull())
-        return F.array_distinct(F.concat(tag("n:", names), tag("a:", alpha), tag("c:", codes), tag("d:", v["numbers"]), tag("b:", bigrams), tag("p:", _pairs(names))))
+        lists = {"n": names, "a": alpha, "c": codes, "d": v["numbers"], "b": bigrams, "p": _pairs(names)}
+        return F.struct(*[F.array_distinct(lists[k]).alias(k) for k in KINDS])
 
     return let(F.struct(name_skeletons(name).alias("names"), tokens(addr).alias("parts"), _units(addr).alias("units"), numbers(addr).alias("numbers")), kinds)
 
 
+def tok4(name: Column, addr: Column) -> Column:
+    """The tokens of all kinds, distinct and prefixed."""
+
+    def tagged(v: Column, kind: str) -> Column:
+        return F.transform(v[kind], lambda x: F.concat(F.lit(kind + ":"), x))
+
+    return let(tok4_kinds(name, addr), lambda v: F.concat(*[tagged(v, k) for k in KINDS]))
+
+
 def joint_tokens(name: Column, addr: Column) -> Column:
     n = F.transform(F.filter(tokens(name), lambda t: F.length(t) > 1), lambda t: F.concat(F.lit("n:"), joint_skeleton(t)))
     return F.array_distinct(F.concat(n, F.transform(tokens(addr), lambda t: F.concat(F.lit("a:"), t))))

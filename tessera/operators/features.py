@@ -29,11 +29,15 @@ PLAIN = [n for n in FEATURE_NAMES if n not in EDIT]
 _EDIT_OF = {"ratio": "ratio", "partial_ratio": "partial_ratio", "token_sort": "token_sort_ratio", "token_set": "token_set_ratio"}
 
 
-def _both(a: Column, b: Column) -> tuple[Column, Column]:
-    """Jaccard and containment of token sets; 0 when either is empty."""
-    hit, none = F.size(F.array_intersect(a, b)), (F.size(a) == 0) | (F.size(b) == 0)
-    zero = F.lit(0.0)
-    return F.when(none, zero).otherwise(F.try_divide(hit, F.size(F.array_union(a, b)))), F.when(none, zero).otherwise(F.try_divide(hit, F.least(F.size(a), F.size(b))))
+def _both(hit: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Jaccard and containment of token sets from what they share and their sizes; 0 when either is empty."""
+    none, zero = (x == 0) | (y == 0), F.lit(0.0)
+    return F.when(none, zero).otherwise(F.try_divide(hit, x + y - hit)), F.when(none, zero).otherwise(F.try_divide(hit, F.least(x, y)))
+
+
+def _share(hit: Column, sizes: Column) -> Column:
+    """Jaccard from what two sets share and the sum of their sizes; -1 when both are empty."""
+    return F.when(sizes == 0, F.lit(-1.0)).otherwise(F.try_divide(hit, sizes - hit))
 
 
 def _length_ratio(a: str, b: str) -> Column:
@@ -51,11 +55,16 @@ def _close(a: Column, b: Column) -> Column:
     return F.exists(x, lambda i: F.exists(y, lambda j: F.abs(i.cast("long") - j.cast("long")).between(1, 20)))
 
 
+SIGNED = ("t", "n", "sorted", "a", "digits", "num", "_key")
+
+
 def signatures(records: DataFrame) -> DataFrame:
-    """What features compare, computed once a record: tokens, word sets, numbers and keys."""
+    """What features compare, computed once a record: tokens by kind, word sets, numbers and keys."""
+    words = lambda c: F.array_distinct(t.tokens(F.col(c)))
     return records.select(
-        "entity_id", "country_norm", "tier", t.tok4(F.col("name_core"), F.col("addr_street")).alias("t"), F.array_distinct(t.tokens(F.col("name_core"))).alias("n"),
-        F.array_distinct(t.tokens(F.col("addr_street"))).alias("a"), t.numbers(F.col("addr_street")).alias("num"), t.name_key(F.col("name_core")).alias("_key"), t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin"),
+        "entity_id", "country_norm", "tier", t.tok4_kinds(F.col("name_core"), F.col("addr_street")).alias("t"), words("name_core").alias("n"), F.array_join(F.array_sort(words("name_core")), " ").alias("sorted"),
+        words("addr_street").alias("a"), F.filter(words("addr_street"), lambda x: x.rlike("^[0-9]+$")).alias("digits"),
+        t.numbers(F.col("addr_street")).alias("num"), t.name_key(F.col("name_core")).alias("_key"), t.twin_key(F.col("name_core"), F.col("addr_street")).alias("twin"),
     )
 
 
@@ -64,9 +73,8 @@ def pair_features(pairs: DataFrame, signed: DataFrame, wanted: list[str] = FEATU
     names = signed.where("tier = 1").groupBy(F.col("country_norm").alias("country"), F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("count"))
     count = lambda side: names.select("country", F.col("key").alias(side + "_key"), F.col("count").alias(side + "_count"))
     records = signed.where("tier > 1").withColumn("cor_global_twin", F.count(F.lit(1)).over(Window.partitionBy("country_norm", "twin")) - 1)
-    kinds = {k: lambda xs, k=k: F.filter(xs, lambda x: x.startswith(k + ":")) for k in "nacdbp"}
-    left = signed.where("tier = 1").select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias("q" + c) for c in ("t", "n", "a", "num", "_key")])
-    right = records.select(F.col("entity_id").alias("rec_id"), *[F.col(c).alias("c" + c) for c in ("t", "n", "a", "num", "_key")], "twin", "cor_global_twin")
+    left = signed.where("tier = 1").select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias("q" + c) for c in SIGNED])
+    right = records.select(F.col("entity_id").alias("rec_id"), *[F.col(c).alias("c" + c) for c in SIGNED], "twin", "cor_global_twin")
     base = pairs.join(left, "s1_id").join(right, "rec_id")
     base = base.join(count("q"), ["country", "q_key"], "left").join(count("c"), ["country", "c_key"], "left")
     own = Window.partitionBy("country", "s1_id")
@@ -79,27 +87,29 @@ def pair_features(pairs: DataFrame, signed: DataFrame, wanted: list[str] = FEATU
     q, c = (lambda x: F.col("q_" + x)), (lambda x: F.col("c_" + x))
     same = lambda x: (q(x) != "") & (q(x) == c(x))
     edits = {x: [n for f, n in _EDIT_OF.items() if f"{x}_{f}" in wanted] for x in "na"}
-    digits = lambda xs: F.filter(xs, lambda x: x.rlike("^[0-9]+$"))
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    shared = lambda k: F.size(F.array_intersect(kinds[k](F.col("qt")), kinds[k](F.col("ct")))).cast("double")
-    jac = lambda k: t.jaccard(kinds[k](F.col("qt")), kinds[k](F.col("ct")))
+    # Kinds of tokens have no token in common, so all sets follow from what each kind shares.
+    size = lambda k: F.size(F.col("qt")[k]) + F.size(F.col("ct")[k])
+    jac = lambda ks: _share(sum(F.col("hit_kind_" + k) for k in ks), sum(size(k) for k in ks))
     longest = F.greatest(F.length("q_name_core"), F.length("c_name_core"))
-    n_jac, n_con = _both(F.col("qn"), F.col("cn"))
-    a_jac, a_con = _both(F.col("qa"), F.col("ca"))
-    d_jac, _ = _both(digits(F.col("qa")), digits(F.col("ca")))
+    words = lambda x: _both(F.col("hit_" + x), F.size("q" + x), F.size("c" + x))
+    (n_jac, n_con), (a_jac, a_con), (d_jac, _) = (words(x) for x in ("n", "a", "digits"))
     score = lambda x, default: F.coalesce(F.col(x), F.lit(float(default)))
     top = F.max("rank_score").over(own)
     by_rank = own.orderBy(F.desc("rank_score"), "rec_id")
     # All similarities of a pair of strings come from one pass.
     of = {x: similarities("jaro_winkler", *edits[x])(f"q_{c}", f"c_{c}") for x, c in (("n", "name_core"), ("a", "addr_street"))}
     first = base.withColumns({f"{x}_sims": s for x, s in of.items()})
+    # What two sets share is counted once a pair; kinds of tokens by their letter, lists by their name.
+    both = {**{f"kind_{k}": (F.col("qt")[k], F.col("ct")[k]) for k in t.KINDS}, **{k: (F.col("q" + k), F.col("c" + k)) for k in ("n", "a", "digits", "num")}}
+    first = first.withColumns({f"hit_{k}": F.size(F.array_intersect(x, y)) for k, (x, y) in both.items()})
     first = first.withColumns({f"{x}_jaro_winkler": F.col(f"{x}_sims.jaro_winkler") for x in "na"})
     edit = {f"{x}_{f}": F.col(f"{x}_sims.{n}") for x in "na" for f, n in _EDIT_OF.items() if n in edits[x]}
     strong_n, strong_a = _flag(F.col("n_jaro_winkler") > 0.90), _flag(F.col("a_jaro_winkler") > 0.85)
     values = {
         "n_exact_alnum": _flag(same("name_alnum")), "n_exact_core": _flag(same("name_core")),
         "n_exact_compact": _flag((q("name_core") != "") & (bare(q("name_core")) == bare(c("name_core")))),
-        "n_sorted_eq": _flag((F.size("qn") > 0) & (F.array_sort("qn") == F.array_sort("cn"))),
+        "n_sorted_eq": _flag((F.col("qsorted") != "") & (F.col("qsorted") == F.col("csorted"))),
         **edit,
         "n_lev_norm": F.when((q("name_core") == "") | (c("name_core") == ""), 0.0).otherwise(1 - F.try_divide(F.levenshtein(q("name_core"), c("name_core")), longest)),
         "n_prefix4": _flag((q("name_core") != "") & (F.substring(q("name_core"), 1, 4) == F.substring(c("name_core"), 1, 4))),
@@ -107,7 +117,7 @@ def pair_features(pairs: DataFrame, signed: DataFrame, wanted: list[str] = FEATU
         "a_exact": _flag(same("addr_street")),
         "a_tok_jaccard": a_jac, "a_tok_containment": a_con, "a_len_ratio": _length_ratio("q_addr_street", "c_addr_street"),
         "a_house_match": _flag(same("house_number")), "a_postal_match": _flag(same("postal_code")),
-        "a_digit_jaccard": d_jac, "a_digit_overlap_n": F.size(F.array_intersect(digits(F.col("qa")), digits(F.col("ca")))).cast("double"),
+        "a_digit_jaccard": d_jac, "a_digit_overlap_n": F.col("hit_digits"),
         "a_missing_q": _flag(q("addr_street") == ""), "a_missing_c": _flag(c("addr_street") == ""),
         "x_name_x_addr": F.col("n_jaro_winkler") * F.col("a_jaro_winkler"), "x_name_plus_addr": F.col("n_jaro_winkler") + F.col("a_jaro_winkler"),
         "x_both_strong": strong_n * strong_a, "x_either_strong": F.greatest(strong_n, strong_a),
@@ -117,9 +127,9 @@ def pair_features(pairs: DataFrame, signed: DataFrame, wanted: list[str] = FEATU
         "r_score_margin_top": F.col("rank_score") - top, "r_is_top1": _flag(F.row_number().over(by_rank) == 1), "s_is_s3": _flag(F.col("rec_id").startswith("S3")),
         "r_j_score": score("j_score", 0), "r_j_rank": score("j_rank", 999),
         "rv_hit": _flag(F.col("r_score").isNotNull()), "rv_score": score("r_score", 0), "rv_rank": score("r_rank", 99), "rv_margin": score("r_margin", -1), "rv_is_top1": _flag(F.col("r_rank") == 0),
-        "k_name_jac": jac("n"), "k_addr_jac": jac("a"), "k_bigram_jac": jac("b"), "k_bigram_shared": shared("b"), "k_namepair_shared": shared("p"), "k_code_shared": shared("c"),
-        "k_all_jac": t.jaccard(F.col("qt"), F.col("ct")), "k_num_jac": t.jaccard(F.col("qnum"), F.col("cnum")),
-        "k_num_s1_missing": F.when(F.size("qnum") == 0, -1.0).otherwise(F.try_divide(F.size(F.array_except("qnum", "cnum")), F.size("qnum"))), "k_num_close": _flag(_close(F.col("qnum"), F.col("cnum"))),
+        "k_name_jac": jac("n"), "k_addr_jac": jac("a"), "k_bigram_jac": jac("b"), "k_bigram_shared": F.col("hit_kind_b"), "k_namepair_shared": F.col("hit_kind_p"), "k_code_shared": F.col("hit_kind_c"),
+        "k_all_jac": jac(t.KINDS), "k_num_jac": _share(F.col("hit_num"), F.size("qnum") + F.size("cnum")),
+        "k_num_s1_missing": F.when(F.size("qnum") == 0, -1.0).otherwise(F.try_divide(F.size("qnum") - F.col("hit_num"), F.size("qnum"))), "k_num_close": _flag(_close(F.col("qnum"), F.col("cnum"))),
         "amb_s1_name_count": score("q_count", 0), "amb_rec_name_count": score("c_count", 0), "amb_rec_count_if_noaddr": F.when(c("addr_street") == "", score("c_count", 0)).otherwise(0.0),
         "cor_global_twin": F.col("cor_global_twin").cast("double"), "cor_local_twin": (F.count(F.lit(1)).over(Window.partitionBy("country", "s1_id", "twin")) - 1).cast("double"),
         "cor_name_support": (F.count(F.lit(1)).over(Window.partitionBy("country", "s1_id", "c_key")) - 1).cast("double"),
