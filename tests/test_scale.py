@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.operators import index
+from tessera.operators import features, index, learning
 from tessera.operators import matching as m
 from tessera.plans import catalog, stages
 from tessera.plans.stages import Stages
@@ -51,3 +51,16 @@ def test_best_of_a_tile(monkeypatch, products):
                 found.append((-int(np.floor(sum(common) / (a["norm"] * b["norm"]) * 1e6 + 0.5)), b["id"]))
         want += [(a["id"], i, -s) for s, i in sorted(found)[:k]]
     assert got == want
+
+
+def test_scores_need_no_other_features(spark):
+    s = Stages(spark, SF)
+    for name in ("features", "signatures", "linear", "scored", "tokens-F"):
+        stages._MADE.pop(s._key(name), None)
+    scored = sorted(map(str, s.scored().collect()))
+    assert not {"features", "signatures", "tokens-F"} & {k[2] for k in stages._MADE if k[:2] == s._key("")[:2]}
+    assert scored == sorted(map(str, learning.linear_scores(s.features()).collect())) and scored
+    for prefix in (("n",), ("a", "x"), ("r", "rv", "s"), ("k",), ("amb", "cor")):
+        names = [n for n in features.PLAIN if n.split("_")[0] in prefix]
+        alone = features.pair_features(s.compressed(), features.signatures(s.records(), features.kinds_of(names)), names)
+        assert sorted(map(str, alone.collect())) == sorted(map(str, s.features().select(alone.columns).collect())), prefix
