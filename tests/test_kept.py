@@ -27,6 +27,7 @@ CASES = {
     "anchors": (set(), False),
     "compress_adaptive": (set(), False),
     "decide_unique": (set(), True),
+    "f05_loss": (set(), True),
 }
 
 
