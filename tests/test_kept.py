@@ -28,6 +28,7 @@ CASES = {
     "compress_adaptive": (set(), False),
     "decide_unique": (set(), True),
     "f05_loss": (set(), True),
+    "feat_name": (set(), False),
 }
 
 
