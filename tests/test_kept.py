@@ -29,6 +29,7 @@ CASES = {
     "decide_unique": (set(), True),
     "f05_loss": (set(), True),
     "feat_name": (set(), False),
+    "blend_fit": ({"labelled"}, True),
 }
 
 
