@@ -31,6 +31,7 @@ CASES = {
     "feat_name": (set(), False),
     "blend_fit": ({"labelled"}, True),
     "candidate_metrics": (set(), True),
+    "decide_margin": (set(), True),
 }
 
 
