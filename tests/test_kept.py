@@ -32,6 +32,7 @@ CASES = {
     "blend_fit": ({"labelled"}, True),
     "candidate_metrics": (set(), True),
     "decide_margin": (set(), True),
+    "entity_f05": (set(), True),
 }
 
 
