@@ -33,6 +33,7 @@ CASES = {
     "candidate_metrics": (set(), True),
     "decide_margin": (set(), True),
     "entity_f05": (set(), True),
+    "feat_address": (set(), False),
 }
 
 
