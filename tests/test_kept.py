@@ -34,6 +34,7 @@ CASES = {
     "decide_margin": (set(), True),
     "entity_f05": (set(), True),
     "feat_address": (set(), False),
+    "feat_phonetic": (set(), False),
 }
 
 
