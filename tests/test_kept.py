@@ -36,6 +36,7 @@ CASES = {
     "feat_address": (set(), False),
     "feat_phonetic": (set(), False),
     "blend_scores": (set(), False),
+    "decide_threshold": (set(), False),
 }
 
 
