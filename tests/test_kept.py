@@ -38,6 +38,7 @@ CASES = {
     "blend_scores": (set(), False),
     "decide_threshold": (set(), False),
     "error_attribution": ({"claims-0.7"}, True),
+    "feat_corroboration": (set(), False),
 }
 
 
